@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotiles.llm.common import SPACE_CLASS, SPACES, let, table
+from geotiles.llm.common import SPACE_CLASS, SPACES, table
 
 #: Rows of the sample that fixes the order of the rules.
 SAMPLE_ROWS = 1000
@@ -29,95 +29,89 @@ SAMPLE_ROWS = 1000
 SYMBOLS = "#*$%&|<>"
 
 
-def words(text: Column) -> Column:
-    """Words of a text as an array."""
-    return F.filter(F.split(text, f"{SPACE_CLASS}+", -1), lambda w: w != "")
+def _words(df: DataFrame, run: Column) -> DataFrame:
+    """``_words``: the words as an array; with them ``n_words``."""
+    trimmed = F.btrim(F.col("_text"), F.lit(SPACES))
+    df = df.withColumn("_words", F.when(run, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+", -1))))
+    return df.withColumn("n_words", F.when(run, F.size("_words").cast("long")))
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
-def word_chars(text: Column) -> Column:
+def _word_chars(df: DataFrame, run: Column) -> DataFrame:
     """Code points inside words."""
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+    return df.withColumn("word_chars", F.when(run, F.length(F.translate(F.col("_text"), SPACES, "")).cast("long")))
 
 
-def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+def _n_symbols(df: DataFrame, run: Column) -> DataFrame:
+    without = F.translate(F.col("_text"), SYMBOLS, "")
+    return df.withColumn("n_symbols", F.when(run, (F.length("_text") - F.length(without)).cast("long")))
 
 
-def n_dup_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def _n_dup_lines(df: DataFrame, run: Column) -> DataFrame:
+    """Lines with a word that equal an earlier line; with them ``n_lines``, blank ones included."""
+    df = df.withColumn("_lines", F.when(run, F.split("_text", "\n", -1))).withColumn("n_lines", F.size("_lines").cast("long"))
+    df = df.withColumn("_lines", F.filter("_lines", lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    return df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
 
 
-def n_repeat_words(text: Column) -> Column:
+def _n_repeat_words(df: DataFrame, run: Column) -> DataFrame:
     """Words covered by three-word windows that occur at least twice in the text.
 
     Windows are sorted as longs: the high bits hold the window's hash and the
     low bits its position, so equal windows become neighbours in n log n steps
     without a shuffle.  From 2**14 words on, hash and position stay apart.
+    Each step is a column of its own, which keeps the sort in generated code.
     """
+    small, low = F.col("n_words") < (1 << 14), F.lit((1 << 14) - 1).cast("long")
+    df = df.withColumn("_hashes", F.when(run & (F.col("n_words") >= 4), F.transform("_words", lambda w: F.xxhash64(w))))
+    window = lambda i: F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1), F.get("_hashes", i + 2))
+    starts = F.sequence(F.lit(0), F.size("_hashes") - 3)
+    df = df.withColumn("_packed", F.when(small & F.col("_hashes").isNotNull(), F.transform(starts, lambda i: window(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))))
+    df = df.withColumn("_apart", F.when(~small & F.col("_hashes").isNotNull(), F.transform(starts, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("i")))))
+    df = df.withColumn("_packed", F.sort_array("_packed")).withColumn("_apart", F.sort_array("_apart"))
+    equal = lambda a, b: F.coalesce(a.bitwiseXOR(b) <= low, F.lit(False)) & F.coalesce(a.bitwiseXOR(b) >= 0, F.lit(False))
+    packed = F.filter("_packed", lambda x, j: equal(x, F.get("_packed", j + 1)) | equal(x, F.get("_packed", j - 1)))
+    same = lambda x, j: F.coalesce(x["h"] == F.get("_apart", j)["h"], F.lit(False))
+    apart = F.filter("_apart", lambda x, j: same(x, j + 1) | same(x, j - 1))
+    df = df.withColumn("_packed", packed).withColumn("_apart", apart)
+    at = F.coalesce(F.transform("_packed", lambda x: x.bitwiseAND(low)), F.transform("_apart", lambda x: x["i"]))
+    df = df.withColumn("_at", F.sort_array(at))
+    # each start covers three words, less what the start before it has covered
+    gaps = F.aggregate(
+        F.col("_at"),
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
+        lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), i - acc["last"])).alias("n"), i.alias("last")),
+        lambda acc: acc["n"],
+    )
+    return df.withColumn("n_repeat_words", F.when(run, F.coalesce(gaps, F.lit(0).cast("long")))).drop("_hashes", "_packed", "_apart", "_at")
 
-    def covered(at: Column) -> Column:
-        """at: the sorted start positions of repeated windows."""
-        step = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last"))
-        first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
-        # each start covers three words, less what the previous start has covered
-        return F.aggregate(at, first, step, lambda acc: acc["n"])
-
-    def packed(windows: Column, size: Column) -> Column:
-        low = F.lit((1 << 14) - 1).cast("long")
-        keys = F.array_sort(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-
-        def repeated(s: Column) -> Column:
-            same = lambda a, b: a.bitwiseAND(F.bitwise_not(low)) == b.bitwiseAND(F.bitwise_not(low))
-            hit = lambda x, j: F.coalesce(same(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, hit), lambda x: x.bitwiseAND(low)))
-
-        return let(keys, repeated)
-
-    def apart(windows: Column) -> Column:
-        keys = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
-
-        def repeated(s: Column) -> Column:
-            hit = lambda x, j: F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, hit), lambda x: x["i"]))
-
-        return let(keys, repeated)
-
-    def count(hashes: Column) -> Column:
-        n = F.size(hashes)
-        windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
-        return F.when(n < 4, F.lit(0).cast("long")).otherwise(
-            let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).when(n < (1 << 14), covered(packed(w, n))).otherwise(covered(apart(w))))
-        )
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), count)
+#: How each measure is added; ``run`` says for which rows it is wanted at all.
+MEASURES: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
+    "n_words": _words,
+    "word_chars": _word_chars,
+    "n_symbols": _n_symbols,
+    "n_dup_lines": _n_dup_lines,
+    "n_repeat_words": _n_repeat_words,
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` gives the condition under which a text is rejected."""
+    """``needs`` names the measures; ``fails`` is SQL over them, true when a text is rejected."""
 
     name: str
-    fails: Callable[[Column], Column]
-
-
-def _at_least(text: Column, limit: int, of: Column) -> Column:
-    return let(n_words(text), lambda n: of > limit * n)
+    needs: tuple[str, ...]
+    fails: str
 
 
 #: The standing rules; the last two are the base rules of the digest.
 RULES: tuple[Rule, ...] = (
-    Rule("long_words", lambda t: 1 * word_chars(t) > 15 * n_words(t)),
-    Rule("short_words", lambda t: 10 * word_chars(t) < 15 * n_words(t)),
-    Rule("symbols", lambda t: 10 * n_symbols(t) > 3 * n_words(t)),
-    Rule("dup_lines", lambda t: 10 * n_dup_lines(t) > 3 * F.size(F.split(t, "\n", -1))),
-    Rule("few_words", lambda t: n_words(t) < 50),
-    Rule("repeat_words", lambda t: let(n_words(t), lambda n: (n > 0) & (100 * n_repeat_words(t) > 50 * n))),
+    Rule("long_words", ("n_words", "word_chars"), "word_chars > 15 * n_words"),
+    Rule("short_words", ("n_words", "word_chars"), "10 * word_chars < 15 * n_words"),
+    Rule("symbols", ("n_words", "n_symbols"), "10 * n_symbols > 3 * n_words"),
+    Rule("dup_lines", ("n_dup_lines",), "10 * n_dup_lines > 3 * n_lines"),
+    Rule("few_words", ("n_words",), "n_words < 50"),
+    Rule("repeat_words", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words"),
 )
 
 
@@ -128,19 +122,28 @@ class Estimate:
     rejected: float
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule], column: str = "text", rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Time and share of rejections of each rule on a sample of at most ``rows`` rows.
+def _ask(df: DataFrame, rules: Sequence[Rule], lazily: bool) -> DataFrame:
+    """``_failed``: the first rule that rejects.  lazily: later measures are skipped for rejected rows."""
+    have: set[str] = set()
+    df = df.withColumn("_failed", F.lit(None).cast("string"))
+    for rule in rules:
+        for name in rule.needs:
+            if name not in have:
+                df, _ = MEASURES[name](df, F.col("_failed").isNull() if lazily else F.lit(True)), have.add(name)
+        df = df.withColumn("_failed", F.coalesce("_failed", F.when(F.expr(rule.fails), F.lit(rule.name))))
+    return df
 
-    The sample is read once into memory-independent form (a local relation of
-    bounded size never leaves the executors: it is a limit below an aggregate).
-    """
-    sample = df.select(F.coalesce(F.col(column), F.lit("")).alias("t")).limit(rows)
+
+def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text", rows: int = SAMPLE_ROWS) -> list[Estimate]:
+    """Seconds and share of rejections of each rule alone on a sample of at most ``rows`` rows."""
+    sample = df.select(F.coalesce(F.col(column), F.lit("")).alias("_text")).limit(rows)
+    sample.agg(F.sum(F.length("_text"))).collect()  # opens the files before the clock runs
     out = []
-    sample.agg(F.sum(F.length("t"))).collect()  # warms the files
     for rule in rules:
+        asked = _ask(sample, [rule], lazily=True)
         began = time.perf_counter()
-        row = sample.agg(F.count("*").alias("n"), F.count_if(rule.fails(F.col("t"))).alias("bad")).collect()[0]
-        out.append(Estimate(rule.name, time.perf_counter() - began, (row["bad"] or 0) / max(1, row["n"])))
+        row = asked.agg(F.count("*").alias("n"), F.count("_failed").alias("bad")).collect()[0]
+        out.append(Estimate(rule.name, time.perf_counter() - began, row["bad"] / max(1, row["n"])))
     return out
 
 
@@ -151,28 +154,22 @@ def order(rules: Sequence[Rule], estimates: Sequence[Estimate]) -> list[Rule]:
 
 
 def cascade(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Add ``kept`` and ``failed_rule``, the first rule of the chosen order that fails (null: none)."""
-    text = F.coalesce(F.col(column), F.lit(""))
-    verdict = None
-    for rule in order(rules, estimate(df, rules, column, sample_rows)):
-        fails = F.coalesce(rule.fails(text), F.lit(False))
-        verdict = F.when(fails, F.lit(rule.name)) if verdict is None else verdict.when(fails, F.lit(rule.name))
-    out = df.withColumn("failed_rule", verdict if verdict is not None else F.lit(None).cast("string"))
-    return out.withColumn("kept", F.col("failed_rule").isNull())
-
-
-def digest(documents: DataFrame) -> DataFrame:
-    """Base measures of every text and the verdict of the cascade."""
-    judged = cascade(documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
-    t = F.col("text")
-    measured = judged.select(
-        "doc_id", n_words(t).alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"),
-        n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"), F.col("kept").alias("method_kept"),
-    )
+    """Add ``kept`` and ``failed_rule``, the first rule of the chosen order that rejects (null: none)."""
+    chosen = order(rules, estimate(df, rules, column, sample_rows))
+    # the caller's columns travel inside one struct, so that no name can clash with a measure's
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("kept", "failed_rule")]).alias("_row"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    return _ask(inner, chosen, lazily=True).select("_row.*", F.col("_failed").alias("failed_rule"), F.col("_failed").isNull().alias("kept"))
+
+
+def digest(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """All base measures of every text, and the verdict of the same rules in the cascade's order."""
+    chosen = order(rules, estimate(documents, rules))
+    inner = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    measured = _ask(inner, chosen, lazily=False)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("method_kept")).alias("kept")
-    )
+    return measured.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("_failed").isNull()).alias("kept")
+    )
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
