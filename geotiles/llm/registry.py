@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotiles.llm import packing, quality_rules
+from geotiles.llm import mixing, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": packing.op2_token_output,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
