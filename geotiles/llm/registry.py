@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotiles.llm import mixing, packing, quality_rules
+from geotiles.llm import mixing, packing, pii, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": packing.op2_token_output,
+        "op3_pii": pii.op3_pii,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_mixing": mixing.op10_mixing,
