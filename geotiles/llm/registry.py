@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotiles.llm import mixing, packing, pii, quality_rules, secret_scan
+from geotiles.llm import mixing, ngram_join, packing, pii, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": packing.op2_token_output,
         "op3_pii": pii.op3_pii,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_mixing": mixing.op10_mixing,
