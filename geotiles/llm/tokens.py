@@ -9,6 +9,8 @@ ids as bytes.  The table of words is a cache: it is emptied when it holds
 
 from __future__ import annotations
 
+import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 SEQUENCE = 4096
 #: Appended to every document.
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Texts handled at once hold about so many characters; a longer one is handled alone.
 CHUNK_CHARS = 2_000_000
 
@@ -33,7 +35,13 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    The tokenizer lower-cases, so ASCII capitals are lowered first, unless a
+    combining mark is there, which could compose with the one case and not the
+    other.  A comma or full stop after an ASCII letter is a token run of its
+    own, so such a word's ids are those of both parts.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -42,15 +50,30 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
 
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder of this process, which the tasks of a reused worker share."""
+        held = sys.__dict__.setdefault("_geotiles_encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        ending = {w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()}
+        plain = list((words - ending) | {x for w in ending for x in (w[:-1], w[-1:])}.difference(known))
+        for k in range(0, len(plain), 10_000):
+            some = plain[k : k + 10_000]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
+            known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(some, (e.ids for e in found), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ending)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        split = [(d if b"\xcc" in d or b"\xcd" in d else d.lower()).split() for d in data]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        self._learn(set().union(*split).difference(self.known))
         of = self.known.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
@@ -88,7 +111,7 @@ def pieces(documents: DataFrame, path: str | None = None, sequence: int = SEQUEN
 
         row = TaskContext.get().partitionId() << 40
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.of(path)
         end, width = np.asarray([end_id], dtype="<u4").tobytes(), 4 * sequence
         for batch in batches:
             for a, b in _chunks(batch, "text"):
