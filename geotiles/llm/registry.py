@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotiles.llm import lm, mixing, ngram_join, packing, pii, quality_rules, secret_scan
+from geotiles.llm import lm, mixing, ngram_join, packing, pii, quality_rules, secret_scan, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_vptree": vptree.op7_vptree,
         "op8_lm_scoring": lm.op8_lm_scoring,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_mixing": mixing.op10_mixing,
@@ -25,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.OP6_SQL,
+        "op7_vptree": vptree.OP7_SQL,
     }
