@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotiles.llm import lm, mixing, ngram_join, packing, pii, quality_rules, secret_scan, vptree
+from geotiles.llm import license_scan, lm, mixing, ngram_join, packing, pii, quality_rules, secret_scan, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op2_token_output": packing.op2_token_output,
         "op3_pii": pii.op3_pii,
         "op4_secret_scan": secret_scan.op4_secret_scan,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.OP1_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op7_vptree": vptree.OP7_SQL,
     }
