@@ -23,6 +23,7 @@ gives an empty mix.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,12 +73,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return out.withColumn("target", F.least(F.col("cap"), F.coalesce(level, F.lit(math.inf)) * F.col("weight"))).select("source", "source_size", "target")
 
 
-def streams(documents: DataFrame, source: str = "source") -> DataFrame:
+def streams(documents: DataFrame, source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """Documents as (doc_id, source, size, start): ``start`` counts the source's words before.
 
-    Documents are ordered by bucket of a hash, then doc_id.
+    Documents are ordered by bucket of a hash, then doc_id.  Columns named in
+    ``keep`` stay.
     """
-    rows = documents.select("doc_id", F.col(source).cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    rows = documents.select("doc_id", F.col(source).cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), *keep)
     rows = materialize(rows.withColumn("arrival", F.monotonically_increasing_id()))
     buckets = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
@@ -94,7 +96,7 @@ def streams(documents: DataFrame, source: str = "source") -> DataFrame:
     inside = Window.partitionBy("source", "bucket", "part").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))
-    return rows.join(starts, on).select("doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("start"))
+    return rows.join(starts, on).select("doc_id", "source", "size", *keep, (F.col("base") + F.col("inside")).alias("start"))
 
 
 def permuted(place: Column, blocks: Column, key: Column) -> Column:
@@ -178,3 +180,26 @@ def digest(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+def sampled(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``documents``, a row for every pass that takes the block of the document's first word.
+
+    Texts stay whole; every document has the chance that its source's target
+    gives its blocks.  Documents without words go with the block at their place,
+    or stay once if their source has no words at all.
+    """
+    names = documents.columns
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source", "text")
+    docs = materialize(streams(rows, keep=["_row"]))
+    plan = materialize(plan_of(docs))
+    times = slots(plan, block_words).groupBy("source", "block").agg(F.count("*").cast("int").alias("times"))
+    sizes = plan.select(F.col("source").alias("s"), "source_size")
+    placed = docs.join(sizes, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a document without words at the very end of its source goes with the last block
+    block = F.floor(F.least(F.col("start"), F.greatest(F.col("source_size") - 1, F.lit(0))) / block_words).cast("long")
+    placed = placed.withColumn("at", block)
+    times = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
+    joined = placed.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("b")), "left")
+    copies = F.when(F.col("source_size") == 0, F.lit(1)).otherwise(F.coalesce("times", F.lit(0)))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

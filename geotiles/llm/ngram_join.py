@@ -329,3 +329,39 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(table(spark, sf_dir, "documents"), 3, Bound(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """``documents`` with one row of each class: the least doc_id, then the first by a hash of the row.
+
+    Rows without words are in no class and stay.  Null ids come last.
+    """
+    names = documents.columns
+    judged = join_classes(documents, n, bound)
+    # a class keeps the least id; its node is that of the row with it, the least of several
+    first = judged.where("node IS NOT NULL").groupBy("component_id").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("w"))
+    stay = first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_node")).union(judged.where("node IS NULL").select("doc_id", "node")).distinct()
+    # ids that repeat need a look at the text; all others are settled by the id
+    rows = documents.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return _matching(joined, names, n).select(*names)
+
+
+def _matching(joined: DataFrame, names: list[str], n: int) -> DataFrame:
+    """Rows whose own node is the wanted one; of equal ids and nodes, one row."""
+    schema, at = joined.schema, joined.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at.index("text"))
+            for a, _, _, sizes, node in _sets(texts, n):
+                part = batch.slice(a, len(sizes))
+                want = part.column(at.index("_node"))
+                own = pa.array(node.view(np.int64), mask=sizes == 0)
+                same = [x == y for x, y in zip(own.to_pylist(), want.to_pylist(), strict=True)]
+                yield part.filter(pa.array(same, pa.bool_()))
+
+    found = joined.mapInArrow(run, schema)
+    first = Window.partitionBy("doc_id", "_node").orderBy("_h")
+    worded = found.where("_node IS NOT NULL").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return worded.union(found.where("_node IS NULL"))

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from geotiles.llm.common import SPACE_CLASS, SPACES, table
 
 #: Rows of the sample that fixes the order of the rules.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
+#: Longest text of the sample, in bytes.
+SAMPLE_BYTES = 50_000
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -135,9 +137,15 @@ def _ask(df: DataFrame, rules: Sequence[Rule], lazily: bool) -> DataFrame:
 
 
 def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text", rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Seconds and share of rejections of each rule alone on a sample of at most ``rows`` rows."""
-    sample = df.select(F.coalesce(F.col(column), F.lit("")).alias("_text")).limit(rows)
-    sample.agg(F.sum(F.length("_text"))).collect()  # opens the files before the clock runs
+    """Seconds and share of rejections of each rule alone on a sample of at most ``rows`` rows.
+
+    The sample comes from as few partitions as hold it and leaves out texts of
+    over ``SAMPLE_BYTES`` bytes, so the driver holds a bounded amount.
+    """
+    text = F.coalesce(F.col(column), F.lit(""))
+    taken = df.select(text.alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES).take(rows)
+    sample = df.sparkSession.createDataFrame(taken, "_text string").repartition(1)
+    sample.agg(F.sum(F.length("_text"))).collect()  # starts what must be started before the clock runs
     out = []
     for rule in rules:
         asked = _ask(sample, [rule], lazily=True)
@@ -158,7 +166,10 @@ def cascade(df: DataFrame, rules: Sequence[Rule] = RULES, column: str = "text",
     chosen = order(rules, estimate(df, rules, column, sample_rows))
     # the caller's columns travel inside one struct, so that no name can clash with a measure's
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("kept", "failed_rule")]).alias("_row"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
-    return _ask(inner, chosen, lazily=True).select("_row.*", F.col("_failed").alias("failed_rule"), F.col("_failed").isNull().alias("kept"))
+    # a filter on the verdict must not be pushed below the steps, where each would be
+    # written out once for every use: it depends on a column that forbids that
+    asked = _ask(inner, chosen, lazily=True).withColumn("_order", F.monotonically_increasing_id())
+    return asked.select("_row.*", F.col("_failed").alias("failed_rule"), (F.col("_failed").isNull() & (F.col("_order") >= 0)).alias("kept"))
 
 
 def digest(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
