@@ -16,7 +16,8 @@ product that can hold a link are computed:
    a task and then between tasks (so a fingerprint that a third of all rows
    share sends one row per task), which gives blocks of one row times up to
    ``BLOCK_ROWS`` others.  A block's product is accumulated over slices of its
-   columns, and pairs below the size-derived bound are discarded.
+   columns, and pairs below the size-derived bound are discarded: after the
+   first slice those that already differ too much, after all of them the rest.
 4. Connected components follow.  Where rows that share a fingerprint ended in
    different components, all their blocks are multiplied, until none is left
    unseen.  Pairs inside one component need no look, as they link nothing new.
@@ -49,6 +50,10 @@ from geotiles.llm.words import POWERS, hash_words, mix, shingles, slices
 BLOCK_ROWS = 63
 #: Columns whose overlaps are accumulated at once.
 COLUMN_SLICE = 1 << 15
+#: Slices of the columns, of which the first decides which pairs are multiplied in full.
+SLICES = 4
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -68,6 +73,10 @@ class Bound:
     def links(self, a: np.ndarray, b: np.ndarray, overlap: np.ndarray) -> np.ndarray:
         return self.den * overlap >= self.num * (a + b - overlap)
 
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Elements in which linked sets of these sizes may differ."""
+        return (self.den - self.num) * (a + b) // (self.den + self.num)
+
     @lru_cache(maxsize=None)  # noqa: B019
     def groups(self, low: int, high: int) -> tuple[int, int]:
         """Column groups, and how many of them may go unoffered, for sets of low..high-1 elements."""
@@ -191,7 +200,7 @@ def offers(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     return _texts(documents).mapInArrow(run, "key long, node long, other long, print long, led boolean")
 
 
-def _product(sizes: np.ndarray, rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+def _product(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     """Overlaps of all pairs of a block's rows, accumulated over slices of its columns."""
     columns, at = np.unique(values, return_inverse=True)
     order = np.argsort(at, kind="stable")
@@ -210,13 +219,17 @@ def _product(sizes: np.ndarray, rows: np.ndarray, values: np.ndarray, count: int
     return out.astype(np.int64)
 
 
+def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, sizes of their ``set`` columns, and all values."""
+    sets = block.column("set").combine_chunks()
+    offsets = sets.offsets.to_numpy()
+    return block.column("node").to_numpy(), np.diff(offsets), sets.values.to_numpy()[offsets[0] : offsets[-1]]
+
+
 def _block_links(block: pa.Table, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
     """Links of a block's rows, as a forest: no more than its rows less one."""
-    nodes = block.column("node").to_numpy()
-    sets = block.column("set").combine_chunks()
-    sizes = np.diff(sets.offsets.to_numpy())
-    values = sets.values.to_numpy()[sets.offsets[0].as_py() : sets.offsets[-1].as_py()]
-    overlap = _product(sizes, np.repeat(np.arange(len(nodes)), sizes), values, len(nodes))
+    nodes, sizes, values = _sides(block)
+    overlap = _product(np.repeat(np.arange(len(nodes)), sizes), values, len(nodes))
     i, j = np.triu_indices(len(nodes), 1)
     linked = bound.links(sizes[i], sizes[j], overlap[i, j])
     parent = list(range(len(nodes)))
@@ -247,19 +260,56 @@ def multiply(blocks: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     return blocks.join(sets, "node").groupBy("block").applyInArrow(run, "a long, b long")
 
 
-def _node_sets(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, set) for ``nodes``, made again from the texts of one row (``doc_id``) of each."""
+def possible(blocks: DataFrame, slices_of: DataFrame, bound: Bound) -> DataFrame:
+    """The rows (block, node) that may link another row of their block.
+
+    ``blocks`` also has ``component``, and rows of one component need no link.
+    Only the first of ``SLICES`` slices of the columns is multiplied, with
+    columns cut to 32 bits: equal ones stay equal, so the overlap is never too
+    small, and a pair whose rows differ in the slice by more than linked sets
+    differ in all is discarded.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        nodes, held, values = _sides(block)
+        sizes, component = block.column("size").to_numpy(), block.column("component").to_numpy()
+        overlap = _product(np.repeat(np.arange(len(nodes)), held), values, len(nodes))
+        differ = held[:, None] + held[None, :] - 2 * overlap
+        most = bound.differ(sizes[:, None], sizes[None, :])
+        may = (differ <= most) & (np.abs(sizes[:, None] - sizes[None, :]) <= most) & (component[:, None] != component[None, :])
+        return pa.table({"block": block.column("block"), "node": pa.array(nodes)}).filter(pa.array(may.any(axis=1)))
+
+    return blocks.join(slices_of, "node").groupBy("block").applyInArrow(run, "block long, node long")
+
+
+def _texts_of(documents: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose id is that of one row of each node.
+
+    The ids are broadcast if there are few, and joined by a shuffle otherwise.
+    """
+    wanted = materialize(nodes.join(ids, "node").select("doc_id").distinct())
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return _texts(documents).alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+
+
+def _node_sets(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int, whole: bool) -> DataFrame:
+    """(node, size, set) for ``nodes``, made again from the texts; not ``whole``: the slice that ``possible`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, values, sizes, node in _sets(batch.column("text"), n):
-                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values.view(np.int64))
-                yield pa.record_batch([pa.array(node.view(np.int64)), sets], names=["node", "set"])
-
-    wanted = nodes.join(ids, "node").select("doc_id")
-    rows = _texts(documents).alias("d").join(wanted.distinct().alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+            for _, rows, values, sizes, node in _sets(batch.column("text"), n):
+                if whole:
+                    held, data = sizes, values.view(np.int64)
+                else:
+                    first = values < np.uint64((1 << 64) // SLICES)
+                    held, data = np.bincount(rows[first], minlength=len(sizes)), values[first].astype(np.uint32).view(np.int32)
+                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(held)]).astype(np.int32), data)
+                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), sets], names=["node", "size", "set"])
+
+    kind = "long" if whole else "int"
     # rows of one id may have different texts, and copies of a text the same node
-    return rows.mapInArrow(run, "node long, set array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    made = _texts_of(documents, ids, nodes).mapInArrow(run, f"node long, size long, set array<{kind}>")
+    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
@@ -280,8 +330,13 @@ def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     members = dealt.select(F.xxhash64("other", "k").alias("block"), "node")
     centres = dealt.select(F.xxhash64("other", "k").alias("block"), F.col("other").alias("node")).distinct()
     blocks = materialize(members.union(centres))
-    sets = materialize(_node_sets(documents, ids, blocks.select("node").distinct(), n))
-    links = materialize(multiply(blocks, sets, bound).distinct())
+    slices_of = materialize(_node_sets(documents, ids, blocks.select("node").distinct(), n, whole=False))
+
+    def linked(blocks: DataFrame) -> DataFrame:
+        rest = materialize(possible(blocks, slices_of, bound))
+        return materialize(multiply(rest, _node_sets(documents, ids, rest.select("node").distinct(), n, whole=True), bound).distinct())
+
+    links = linked(blocks.withColumn("component", F.col("node")))
     labels = materialize(components(links))
 
     # fingerprints of three rows or more that ended in different components; one
@@ -293,13 +348,12 @@ def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     if rest.isEmpty():
         final = labels
     else:
-        more = multiply(materialize(_squares(rest)), sets, bound)
-        final = materialize(components(links.union(more)))
+        final = materialize(components(links.union(linked(materialize(_squares(rest, labels))))))
     return _named(rows, final)
 
 
-def _squares(rest: DataFrame) -> DataFrame:
-    """Blocks (block, node) that hold every pair of a fingerprint's rows from different components.
+def _squares(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks (block, node, component) that hold every pair of a fingerprint's rows from different components.
 
     Rows of a fingerprint are dealt into runs of about ``BLOCK_ROWS``: those of a
     large component into runs of its own, all others into common runs.  A block
@@ -316,7 +370,8 @@ def _squares(rest: DataFrame) -> DataFrame:
     same = (F.col("a.low") == F.col("b.high")) & (F.col("a.high") == F.col("b.low")) & (F.col("a.low") == F.col("a.high"))
     met = a.join(b, (F.col("a.print") == F.col("b.print")) & (F.col("a.run") <= F.col("b.run"))).where(~same)
     met = met.select(F.sort_array(F.array_union("a.nodes", "b.nodes")).alias("nodes")).where(F.size("nodes") > 1)
-    return met.withColumn("block", F.xxhash64("nodes")).dropDuplicates(["block"]).select("block", F.explode("nodes").alias("node"))
+    blocks = met.withColumn("block", F.xxhash64("nodes")).dropDuplicates(["block"]).select("block", F.explode("nodes").alias("node"))
+    return blocks.join(labels, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
