@@ -46,23 +46,34 @@ MIN_COUNT = 2
 DISCOUNT = 0.75
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Bytes of text whose bigrams one hash range handles, about.
-RANGE_BYTES = 8 << 20
+#: Tokens whose bigrams one hash range handles, about.
+RANGE_TOKENS = 1_500_000
 #: Hashes of the end and of the start of a text, which no word has by more than chance.
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed, after their number: most counts are small."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype=kind)
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 1 (null: the id is an empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
 def encoded(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks: (block, doc_ids, held_out, lengths, words, codes, n).
+    """Blocks: (block, doc_ids, held_out, lengths, words, codes, n, tokens).
 
     ``words`` are the sorted distinct word hashes of the block with the end,
     ``codes`` the texts' tokens as places in them, each text with its end;
-    ``n`` the words' training counts.  All little-endian bytes.
+    ``n`` the words' training counts.  All little-endian; all but ``words``, which
+    no method shrinks, are compressed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,13 +95,14 @@ def encoded(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 n = np.bincount(codes[trained], minlength=len(words))
                 yield pa.record_batch(
                     [pa.array([block], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("held_out").to_pylist()], pa.list_(pa.bool_())),
-                     *(pa.array([x.tobytes()], pa.binary()) for x in (lengths.astype("<u4"), words.astype("<u8"), codes.astype("<u4"), n.astype("<u4")))],
-                    names=["block", "doc_ids", "held_out", "lengths", "words", "codes", "n"],
+                     *(pa.array([x], pa.binary()) for x in (_pack(lengths.astype("<u4")), words.astype("<u8").tobytes(), _pack(codes.astype("<u4")), _pack(n.astype("<u4")))),
+                     pa.array([len(tokens)], pa.int64())],
+                    names=["block", "doc_ids", "held_out", "lengths", "words", "codes", "n", "tokens"],
                 )
                 block += 1
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    return rows.mapInArrow(run, "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, words binary, codes binary, n binary")
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, words binary, codes binary, n binary, tokens long")
 
 
 def _bigrams(lengths: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +130,7 @@ def _range_of_pairs(state: np.ndarray, word: np.ndarray, ranges: int) -> np.ndar
 
 
 def _of(row: dict, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(row[name], dtype=kind)
+    return np.frombuffer(row[name], dtype=kind) if name == "words" else _unpack(row[name], kind)
 
 
 def ask_bigrams(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -142,7 +154,7 @@ def ask_bigrams(blocks: DataFrame, ranges: int) -> DataFrame:
                     if len(k):
                         s = state[k]
                         new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                        for name, value in (("range", r), ("block", row["block"]), ("states", s[new].tobytes()), ("runs", np.diff(np.append(new, len(k))).astype("<u4").tobytes()), ("words", word[k].tobytes()), ("counts", n[k].astype("<u4").tobytes())):
+                        for name, value in (("range", r), ("block", row["block"]), ("states", s[new].tobytes()), ("runs", _pack(np.diff(np.append(new, len(k))).astype("<u4"))), ("words", word[k].tobytes()), ("counts", _pack(n[k].astype("<u4")))):
                             out[name].append(value)
                 kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
                 for a in range(0, len(out["range"]), 64):
@@ -175,11 +187,13 @@ def answer_bigrams(asked: DataFrame, min_count: int = MIN_COUNT, discount: float
         part = asked.column("range")[0].as_py()
         blocks = asked.column("block").to_pylist()
         raw = {c: asked.column(c).to_pylist() for c in ("states", "runs", "words", "counts")}
-        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in raw[c]])
-        state, word, counts = np.repeat(join("states", "<u8"), join("runs", "<u4")), join("words", "<u8"), join("counts", "<u4")
+        plain = lambda c: np.concatenate([np.frombuffer(x, "<u8") for x in raw[c]])
+        packed = lambda c: [_unpack(x, "<u4") for x in raw[c]]
+        each = packed("counts")
+        state, word, counts = np.repeat(plain("states"), np.concatenate(packed("runs"))), plain("words"), np.concatenate(each)
         at, place, total = _totals((state, word), counts)
         kept = np.where(total >= min_count, total, 0)
-        edges = np.cumsum([0, *(len(x) // 4 for x in raw["counts"])])
+        edges = np.cumsum([0, *map(len, each)])
         answer = kept[place].astype("<u4")
         of, mass = state[at][kept > 0], (kept[kept > 0] - discount)
         states, where = np.unique(of, return_inverse=True)
@@ -189,7 +203,7 @@ def answer_bigrams(asked: DataFrame, min_count: int = MIN_COUNT, discount: float
             "kind": pa.array([0] * n + [1] * m, pa.int32()),
             "to": pa.array(np.concatenate([np.array(blocks, np.int64), states.view(np.int64)])),
             "part": pa.array(np.full(n + m, part, np.int32)),
-            "data": pa.array([answer[edges[i] : edges[i + 1]].tobytes() for i in range(n)] + [None] * m, pa.binary()),
+            "data": pa.array([_pack(answer[edges[i] : edges[i + 1]]) for i in range(n)] + [None] * m, pa.binary()),
             "mass": pa.array(np.concatenate([np.zeros(n), mass])),
         })
 
@@ -209,8 +223,9 @@ def ask_words(blocks: DataFrame, ranges: int) -> DataFrame:
                 order = np.argsort(to, kind="stable")
                 edges = np.searchsorted(to[order], np.arange(ranges + 1))
                 used = [r for r in range(ranges) if edges[r] < edges[r + 1]]
-                cut = lambda x, kind: pa.array([x[order[edges[r] : edges[r + 1]]].astype(kind).tobytes() for r in used], pa.binary())
-                yield pa.record_batch([pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.int64()), cut(words, "<u8"), cut(n, "<u4")], names=["range", "block", "words", "counts"])
+                cut = [order[edges[r] : edges[r + 1]] for r in used]
+                asked = pa.array([words[k].tobytes() for k in cut], pa.binary()), pa.array([_pack(n[k].astype("<u4")) for k in cut], pa.binary())
+                yield pa.record_batch([pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.int64()), *asked], names=["range", "block", "words", "counts"])
 
     return blocks.select("block", "held_out", "words", "n").mapInArrow(run, "range int, block long, words binary, counts binary")
 
@@ -222,7 +237,7 @@ def answer_words(asked: DataFrame, mass: DataFrame, ranges: int) -> DataFrame:
         blocks = asked.column("block").to_pylist()
         words = [np.frombuffer(x, "<u8") for x in asked.column("words").to_pylist()]
         every = np.concatenate([np.empty(0, np.uint64), *words])
-        counts = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, "<u4") for x in asked.column("counts").to_pylist())])
+        counts = np.concatenate([np.empty(0, np.uint32), *(_unpack(x, "<u4") for x in asked.column("counts").to_pylist())])
         at, place, total = _totals((every,), counts)
         distinct = every[at]
         held = np.zeros(len(distinct))
@@ -232,7 +247,7 @@ def answer_words(asked: DataFrame, mass: DataFrame, ranges: int) -> DataFrame:
             held[k] = mass.column("mass").to_numpy()
         real = distinct != START
         edges = np.cumsum([0, *map(len, words)])
-        data = [(total[place[a:b]].astype("<u8").tobytes(), held[place[a:b]].astype("<f8").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        data = [(_pack(total[place[a:b]].astype("<u8")), _pack(held[place[a:b]].astype("<f8"))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         n = len(blocks) + 1
         return pa.table({
             "block": pa.array([*blocks, -1], pa.int64()), "part": pa.array([key[0].as_py()] * n, pa.int32()),
@@ -280,7 +295,7 @@ def score(blocks: DataFrame, bigram_answers: DataFrame, word_answers: DataFrame,
             got = dict(zip(t.column("part").to_pylist(), t.column(column).to_pylist(), strict=True))
             out = np.empty(len(to), dtype=kind)
             order = np.argsort(to, kind="stable")
-            out[order] = np.concatenate([np.frombuffer(got[r], kind) for r in np.unique(to).tolist()])
+            out[order] = np.concatenate([_unpack(got[r], kind) for r in np.unique(to).tolist()])
             return out
 
         with_start = np.append(vocabulary, START)
@@ -313,11 +328,11 @@ def score(blocks: DataFrame, bigram_answers: DataFrame, word_answers: DataFrame,
     return blocks.select("block", "doc_ids", "held_out", "lengths", "words", "codes").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(split, schema)
 
 
-def lm_scores(documents: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def lm_scores(documents: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """Train on the texts that are not held out and score all of them."""
     blocks = materialize(encoded(documents, block_bytes))
-    size = blocks.agg(F.sum(F.octet_length("codes") + F.octet_length("words"))).collect()[0][0] or 1
-    ranges = max(1, -(-size // range_bytes))
+    tokens = blocks.agg(F.sum("tokens")).collect()[0][0] or 1
+    ranges = max(1, -(-tokens // range_tokens))
     found = materialize(answer_bigrams(ask_bigrams(blocks, ranges), min_count, discount))
     # a state's mass comes in parts, one a range at most
     mass = found.where("kind = 1").groupBy("to").agg(F.sum("mass").alias("mass"))
