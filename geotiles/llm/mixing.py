@@ -38,6 +38,8 @@ MOST_PASSES = 2
 SHARD_WORDS = 1 << 22
 #: Slots that one row of the plan makes.
 CHUNK_SLOTS = 4096
+#: Slots that one task makes, about.
+TASK_SLOTS = 1 << 16
 ROUNDS = 12
 SEED = 20
 
@@ -112,7 +114,11 @@ def permuted(place: Column, blocks: Column, key: Column) -> Column:
 
 
 def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as rows (shard, source, slot, block), from rows (source, source_size, target)."""
+    """The mix as rows (shard, source, slot, block), from rows (source, source_size, target).
+
+    The planner takes them for as few as the plan's rows, so joins with them
+    must ask for a merge and not leave it to broadcast them.
+    """
     plan = plan.where("source_size > 0")
     plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     plan = plan.withColumn("passes", F.floor(F.col("target") / F.col("source_size")).cast("long"))
@@ -122,7 +128,8 @@ def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SH
     total = plan.agg(F.sum("slots")).collect()[0][0] or 0
     shards = max(1, -(-total * block_words // shard_words))
     chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS).cast("long"))))
-    chunks = chunks.repartition("source", "chunk")
+    # a number of partitions that follows the slots: by bytes, these few rows would all be one
+    chunks = chunks.repartition(max(1, min(100_000, -(-total // TASK_SLOTS))), "source", "chunk")
     first = F.col("chunk") * CHUNK_SLOTS
     made = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)))
     key = F.xxhash64("source", (F.col("slot") / F.col("blocks")).cast("long"), F.lit(seed))
@@ -154,7 +161,7 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     parts = blocks_of(docs, block_words).withColumn("first_word", F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")))
     chosen = slots(plan_of(docs), block_words).alias("a")
     on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-    return chosen.join(parts.alias("b"), on).select("a.shard", "a.source", "a.slot", "a.block", "b.doc_id", "b.first_word", "b.words")
+    return chosen.hint("merge").join(parts.alias("b"), on).select("a.shard", "a.source", "a.slot", "a.block", "b.doc_id", "b.first_word", "b.words")
 
 
 def taken(docs: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -165,7 +172,7 @@ def taken(docs: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> D
     times = slots(plan, block_words).groupBy("source", "block").agg(F.count("*").alias("times")).alias("a")
     parts = blocks_of(docs, block_words).alias("b")
     on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-    return parts.join(times, on).groupBy("b.source", "b.start").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
+    return parts.join(times.hint("merge"), on).groupBy("b.source", "b.start").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
 
 
 def digest(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -200,6 +207,6 @@ def sampled(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     block = F.floor(F.least(F.col("start"), F.greatest(F.col("source_size") - 1, F.lit(0))) / block_words).cast("long")
     placed = placed.withColumn("at", block)
     times = times.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
-    joined = placed.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("b")), "left")
+    joined = placed.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("b")), "left")
     copies = F.when(F.col("source_size") == 0, F.lit(1)).otherwise(F.coalesce("times", F.lit(0)))
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")
