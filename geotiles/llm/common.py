@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,15 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, compression: str = "zstd", free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage and survives the loss of any executor.  The files
-    belong to the checkpoint folder and go with it.
+    belong to the checkpoint folder and go with it.  What was shuffled for them
+    is not needed any more; Spark deletes it when the driver's objects for it are
+    collected, which is asked for here, as else the disks fill up before that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geotiles-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

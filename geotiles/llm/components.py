@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing moves any more.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, before = materialize(both), None
+    links, before = materialize(both, free=False), None
     while True:
         # large star: larger neighbours of u go to the least of u and its neighbours
         out = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours of u and u itself go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        links = materialize(small.where("u <> v").distinct())
+        links = materialize(small.where("u <> v").distinct(), free=False)
         state = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v").cast("decimal(38,0)"))).collect()[0]
         if state == before:
             break
