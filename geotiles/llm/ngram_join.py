@@ -16,8 +16,8 @@ product that can hold a link are computed:
    a task and then between tasks (so a fingerprint that a third of all rows
    share sends one row per task), which gives blocks of one row times up to
    ``BLOCK_ROWS`` others.  A block's product is accumulated over slices of its
-   columns, and pairs below the size-derived bound are discarded: after the
-   first slice those that already differ too much, after all of them the rest.
+   columns, and pairs below the size-derived bound are discarded: before it those
+   with too few equal column groups, after it the rest.
 4. Connected components follow.  Where rows that share a fingerprint ended in
    different components, all their blocks are multiplied, until none is left
    unseen.  Pairs inside one component need no look, as they link nothing new.
@@ -50,8 +50,6 @@ from geotiles.llm.words import POWERS, hash_words, mix, shingles, slices
 BLOCK_ROWS = 63
 #: Columns whose overlaps are accumulated at once.
 COLUMN_SLICE = 1 << 15
-#: Slices of the columns, of which the first decides which pairs are multiplied in full.
-SLICES = 4
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 4_000_000
 
@@ -95,39 +93,50 @@ class Bound:
         return differ + 1 + spare, spare
 
 
+@dataclass
+class Cells:
+    """Column groups of rows at one meeting level, one row's after the other."""
+
+    meet: np.ndarray  # of each row
+    groups: np.ndarray  # number of each row's groups
+    spare: np.ndarray  # of each row
+    owner: np.ndarray  # of each cell
+    count: np.ndarray  # elements of each cell
+    value: np.ndarray  # fingerprint of each cell
+
+
+def cells(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound, up: int) -> Cells:
+    """Column groups for meeting rows of the own level (up 0) or of the next (up 1)."""
+    starts = bound.levels(int(sizes.max(initial=1)))
+    meet = np.searchsorted(starts, sizes, side="right") - 1 + up
+    kinds = np.zeros((int(meet.max(initial=0)) + 1, 2), np.int64)  # of the upper level, for both that meet
+    for m in np.unique(meet[sizes > 0]).tolist():
+        kinds[m] = bound.groups(int(starts[m]), int(starts[m + 1]))
+    k, spare = np.where(sizes > 0, kinds[meet, 0], 0), kinds[meet, 1]
+    mine = k[rows] > 0
+    r, v = rows[mine], values[mine]
+    part = ((v >> np.uint64(32)) * k[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    first = np.cumsum(k) - k
+    cell = first[r] + part  # sorted, as parts are ranges of the hash
+    total = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(mix(v + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
+    edge = np.searchsorted(cell, np.arange(k.sum() + 1))
+    owner = np.repeat(np.arange(len(k)), k)
+    place = np.arange(k.sum()) - first[owner]
+    value = mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(meet[owner].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)))
+    return Cells(meet, k, spare, owner, np.diff(edge), value)
+
+
 def fingerprints(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
     """(row, fingerprint) of everything that the rows offer; rows and values sorted by both."""
-    if not len(rows):
-        return rows, values
-    starts = bound.levels(int(sizes.max()))
-    level = np.searchsorted(starts, sizes, side="right") - 1
-    out_rows, out_values = [], []
-    for up in (0, 1):  # a row meets others at its own level and at the next
-        meet = level + up
-        kinds = np.zeros((int(meet.max()) + 1, 2), np.int64)  # of the upper level, for both that meet
-        for m in np.unique(meet[sizes > 0]).tolist():
-            kinds[m] = bound.groups(int(starts[m]), int(starts[m + 1]))
-        k, spare = kinds[meet, 0], kinds[meet, 1]
-        mine = k[rows] > 0
-        r, v = rows[mine], values[mine]
-        if not len(r):
-            continue
-        part = ((v >> np.uint64(32)) * k[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        first = np.cumsum(k) - k
-        cell = first[r] + part  # sorted, as parts are ranges of the hash
-        total = np.zeros(len(v) + 1, np.uint64)
-        np.cumsum(mix(v + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
-        edge = np.searchsorted(cell, np.arange(k.sum() + 1))
-        count, owner = np.diff(edge), np.repeat(np.arange(len(k)), k)
-        place = np.arange(k.sum()) - first[owner]
-        few = count < 2
-        weak = np.bincount(owner[few], minlength=len(k))
-        offered = ~few | (weak > spare)[owner]
-        value = mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(meet[owner].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)))
-        out_rows.append(owner[offered])
-        out_values.append(value[offered])
-    if not out_rows:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    out_rows, out_values = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for up in (0, 1):
+        c = cells(rows, values, sizes, bound, up)
+        few = c.count < 2
+        weak = np.bincount(c.owner[few], minlength=len(sizes))
+        offered = ~few | (weak > c.spare)[c.owner]
+        out_rows.append(c.owner[offered])
+        out_values.append(c.value[offered])
     return np.concatenate(out_rows), np.concatenate(out_values)
 
 
@@ -260,26 +269,52 @@ def multiply(blocks: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     return blocks.join(sets, "node").groupBy("block").applyInArrow(run, "a long, b long")
 
 
-def possible(blocks: DataFrame, slices_of: DataFrame, bound: Bound) -> DataFrame:
-    """The rows (block, node) that may link another row of their block.
+def _forest(links: np.ndarray) -> np.ndarray:
+    """The least row that each row of a symmetric matrix reaches."""
+    least = np.arange(len(links))
+    while True:
+        near = np.where(links, least[None, :], len(links)).min(axis=1, initial=len(links))
+        now = np.minimum(least, near)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def possible(blocks: DataFrame, sketches: DataFrame, bound: Bound) -> DataFrame:
+    """(block, node, root): the rows that may link another row of their block.
 
     ``blocks`` also has ``component``, and rows of one component need no link.
-    Only the first of ``SLICES`` slices of the columns is multiplied, with
-    columns cut to 32 bits: equal ones stay equal, so the overlap is never too
-    small, and a pair whose rows differ in the slice by more than linked sets
-    differ in all is discarded.
+    Rows are compared by their column groups' fingerprints, cut to 16 bits:
+    equal ones stay equal, so a pair with too few equal ones is rightly
+    discarded.  ``root`` is the least node that such pairs reach in the block.
     """
 
     def run(block: pa.Table) -> pa.Table:
-        nodes, held, values = _sides(block)
-        sizes, component = block.column("size").to_numpy(), block.column("component").to_numpy()
-        overlap = _product(np.repeat(np.arange(len(nodes)), held), values, len(nodes))
-        differ = held[:, None] + held[None, :] - 2 * overlap
-        most = bound.differ(sizes[:, None], sizes[None, :])
-        may = (differ <= most) & (np.abs(sizes[:, None] - sizes[None, :]) <= most) & (component[:, None] != component[None, :])
-        return pa.table({"block": block.column("block"), "node": pa.array(nodes)}).filter(pa.array(may.any(axis=1)))
-
-    return blocks.join(slices_of, "node").groupBy("block").applyInArrow(run, "block long, node long")
+        nodes, level = block.column("node").to_numpy(), block.column("level").to_numpy()
+        size, component = block.column("size").to_numpy(), block.column("component").to_numpy()
+        own, upper = ([np.frombuffer(x, np.uint16) for x in block.column(c).to_pylist()] for c in ("own", "upper"))
+        may = np.zeros((len(nodes), len(nodes)), bool)
+        for m in np.unique(level).tolist():
+            here = np.flatnonzero(level == m)
+            for there, mine, wanted in ((here, own, m), (np.flatnonzero(level == m + 1), upper, m + 1)):
+                if len(there) and len(mine[here[0]]):
+                    held = np.stack([own[i] for i in there])
+                    need = 1 + spare[wanted]
+                    for i in here:
+                        may[i, there] = (held == mine[i]).sum(axis=1) >= need
+        may |= may.T
+        most = bound.differ(size[:, None], size[None, :])
+        may &= (np.abs(size[:, None] - size[None, :]) <= most) & (component[:, None] != component[None, :])
+        keep = may.any(axis=1)
+        order = np.argsort(nodes)
+        least = np.empty(len(nodes), np.int64)
+        least[order] = order[_forest(may[np.ix_(order, order)])]
+        return pa.table({"block": block.column("block"), "node": pa.array(nodes), "root": pa.array(nodes[least])}).filter(pa.array(keep))
+
+    starts = bound.levels(1 << 40)
+    spare = [bound.groups(int(a), int(b))[1] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return blocks.join(sketches, "node").groupBy("block").applyInArrow(run, "block long, node long, root long")
 
 
 def _texts_of(documents: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -292,24 +327,55 @@ def _texts_of(documents: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFra
     return _texts(documents).alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
 
 
-def _node_sets(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int, whole: bool) -> DataFrame:
-    """(node, size, set) for ``nodes``, made again from the texts; not ``whole``: the slice that ``possible`` takes."""
+def _made_again(documents: DataFrame, ids: DataFrame, nodes: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of the texts, a row for each of ``nodes``."""
+    # rows of one id may have different texts, and copies of a text the same node
+    return _texts_of(documents, ids, nodes).mapInArrow(run, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _node_sketches(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """(node, size, level, own, upper): 16 bits of each column group at the own level and the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, rows, values, sizes, node in _sets(batch.column("text"), n):
-                if whole:
-                    held, data = sizes, values.view(np.int64)
-                else:
-                    first = values < np.uint64((1 << 64) // SLICES)
-                    held, data = np.bincount(rows[first], minlength=len(sizes)), values[first].astype(np.uint32).view(np.int32)
-                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(held)]).astype(np.int32), data)
-                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), sets], names=["node", "size", "set"])
-
-    kind = "long" if whole else "int"
-    # rows of one id may have different texts, and copies of a text the same node
-    made = _texts_of(documents, ids, nodes).mapInArrow(run, f"node long, size long, set array<{kind}>")
-    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+                made = []
+                for up in (0, 1):
+                    c = cells(rows, values, sizes, bound, up)
+                    ends = np.cumsum(c.groups)
+                    bits = c.value.astype(np.uint16)
+                    made.append(pa.array([bits[b - k : b].tobytes() for b, k in zip(ends.tolist(), c.groups.tolist(), strict=True)], pa.binary()))
+                    level = c.meet - up
+                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(level.astype(np.int32)), *made], names=["node", "size", "level", "own", "upper"])
+
+    return _made_again(documents, ids, nodes, run, "node long, size long, level int, own binary, upper binary")
+
+
+def _node_sets(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, set) for ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, values, sizes, node in _sets(batch.column("text"), n):
+                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values.view(np.int64))
+                yield pa.record_batch([pa.array(node.view(np.int64)), sets], names=["node", "set"])
+
+    return _made_again(documents, ids, nodes, run, "node long, set array<long>")
+
+
+def _gathered(rest: DataFrame) -> DataFrame:
+    """Blocks (block, node) for rows (block, node, root) that may link.
+
+    The same few rows share many fingerprints, hence many blocks.  Rows that
+    such pairs connect are a family, and a family that fits a block is one;
+    larger ones stay in the blocks they came in.
+    """
+    named = components(rest.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    family = materialize(named)
+    few = family.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= 2 * BLOCK_ROWS).select("component")
+    small = family.join(few, "component", "left_semi").select(F.xxhash64("component", F.lit("family")).alias("block"), "node")
+    large = rest.join(small.select("node"), "node", "left_anti").select(F.xxhash64("block", "root").alias("block"), "node").distinct()
+    return small.union(large)
 
 
 def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
@@ -330,11 +396,12 @@ def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     members = dealt.select(F.xxhash64("other", "k").alias("block"), "node")
     centres = dealt.select(F.xxhash64("other", "k").alias("block"), F.col("other").alias("node")).distinct()
     blocks = materialize(members.union(centres))
-    slices_of = materialize(_node_sets(documents, ids, blocks.select("node").distinct(), n, whole=False))
+    sketches = materialize(_node_sketches(documents, ids, blocks.select("node").distinct(), n, bound))
 
     def linked(blocks: DataFrame) -> DataFrame:
-        rest = materialize(possible(blocks, slices_of, bound))
-        return materialize(multiply(rest, _node_sets(documents, ids, rest.select("node").distinct(), n, whole=True), bound).distinct())
+        rest = materialize(possible(blocks, sketches, bound))
+        met = materialize(_gathered(rest))
+        return materialize(multiply(met, _node_sets(documents, ids, met.select("node").distinct(), n), bound).distinct())
 
     links = linked(blocks.withColumn("component", F.col("node")))
     labels = materialize(components(links))
