@@ -17,7 +17,8 @@ Only DataFrame functions are used.  Defined cases: null or empty texts have no
 licence of their own and may inherit; a null path inherits from nowhere; the
 best score wins in a directory with several licence files, then the licence
 first in the alphabet; repeated rows each get their row; an empty table gives
-an empty result; extra columns are kept, whatever their names.
+an empty result; extra columns are kept, but those named like a result column
+give way to it.
 """
 
 from __future__ import annotations
@@ -117,8 +118,8 @@ def best_license(text: Column, weights: Weights | None = None) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", weights: Weights | None = None) -> DataFrame:
     """``files`` without the text, with ``license``, ``score``, ``found`` ("file" or "inherited") and ``found_in``."""
-    rest = [c for c in files.columns if c not in (text, path)]
-    own = files.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(path).alias("_path"), best_license(text_or_empty(text), weights).alias("_own"))
+    rest = [c for c in files.columns if c not in (text, path, "license", "score", "found", "found_in")]
+    own = files.select(F.struct(F.lit(True), *[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(path).alias("_path"), best_license(text_or_empty(text), weights).alias("_own"))
     own = own.withColumn("_dir", F.regexp_replace("_path", "/?[^/]*$", ""))
     own = own.withColumn("_declares", F.coalesce(F.regexp_extract("_path", "[^/]*$", 0).rlike(LICENSE_FILE), F.lit(False)))
     own = materialize(own)
@@ -135,7 +136,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", weights: Weig
     joined = own.join(nearest, "_dir", "left")
     inherited = F.col("_own").isNull()
     return joined.select(
-        "_row.*",
+        *[F.col(f"_row.`{c}`").alias(c) for c in rest],
         F.col("_path").alias(path),
         F.when(inherited, F.col("_from.license")).otherwise(F.col("_own.license")).alias("license"),
         F.when(inherited, F.col("_from.score")).otherwise(F.col("_own.score")).alias("score"),
