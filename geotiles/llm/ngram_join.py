@@ -487,3 +487,18 @@ def _matching(joined: DataFrame, names: list[str], n: int) -> DataFrame:
     first = Window.partitionBy("doc_id", "_node").orderBy("_h")
     worded = found.where("_node IS NOT NULL").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     return worded.union(found.where("_node IS NULL"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM t WHERE len(words) >= 3),
+s AS (SELECT DISTINCT rid, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS shingle FROM g
+      UNION ALL SELECT rid, array_to_string(words, ' ') FROM t WHERE len(words) BETWEEN 1 AND 2),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(rid, other) AS (SELECT rid, rid FROM t UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.other)
+SELECT t.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(u.doc_id) AS component_id
+FROM t JOIN r USING (rid) JOIN t u ON u.rid = r.other LEFT JOIN n ON n.rid = t.rid GROUP BY t.rid, t.doc_id
+"""

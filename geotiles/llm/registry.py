@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.OP1_SQL,
+        "op5_ngram_join": ngram_join.OP5_SQL,
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op7_vptree": vptree.OP7_SQL,
     }
