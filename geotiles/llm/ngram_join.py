@@ -127,9 +127,12 @@ def cells(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound,
     return Cells(meet, k, spare, owner, np.diff(edge), value)
 
 
-def fingerprints(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
-    """(row, fingerprint) of everything that the rows offer; rows and values sorted by both."""
-    out_rows, out_values = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+def fingerprints(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, fingerprint, 2 * drop + up) of everything that the rows offer; rows and values sorted by both.
+
+    ``drop``: how many of its most frequent fingerprints for this level the row may still leave out.
+    """
+    out_rows, out_values, out_info = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for up in (0, 1):
         c = cells(rows, values, sizes, bound, up)
         few = c.count < 2
@@ -137,7 +140,8 @@ def fingerprints(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound:
         offered = ~few | (weak > c.spare)[c.owner]
         out_rows.append(c.owner[offered])
         out_values.append(c.value[offered])
-    return np.concatenate(out_rows), np.concatenate(out_values)
+        out_info.append((2 * np.maximum(c.spare - weak, 0) + up)[c.owner[offered]])
+    return np.concatenate(out_rows), np.concatenate(out_values), np.concatenate(out_info)
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,17 +173,17 @@ def classes(documents: DataFrame, n: int) -> DataFrame:
 
 
 def offers(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
-    """(key, node, other, print): what every task's rows offer.
+    """(key, node, print, flags): what every task's rows offer.
 
     A fingerprint's least node of the task has ``key`` the fingerprint, and
-    ``led`` if others of the task share it; those others have ``other`` the least
-    node, ``print`` the fingerprint, and a key of their own, so that however many
-    they are, a later shuffle spreads them.
+    the lowest bit of ``flags`` if others of the task share it; those others have
+    ``print`` the fingerprint and a key of their own, so that however many they
+    are, a later shuffle spreads them.  The other bits are the row's drop and up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        nodes, prints = [], []
+        nodes, prints, infos = [], [], []
         for batch in batches:
             for _, rows, values, sizes, node in _sets(batch.column("text"), n):
                 fresh = np.zeros(len(sizes), bool)
@@ -188,25 +192,26 @@ def offers(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
                         seen.add(x)
                         fresh[i] = True
                 keep = fresh[rows]
-                r, v = fingerprints(rows[keep], values[keep], np.where(fresh, sizes, 0), bound)
+                r, v, i = fingerprints(rows[keep], values[keep], np.where(fresh, sizes, 0), bound)
                 nodes.append(node[r].view(np.int64))
                 prints.append(v)
-        node, value = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((nodes, np.int64), (prints, np.uint64)))
+                infos.append(i)
+        node, value, info = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((nodes, np.int64), (prints, np.uint64), (infos, np.int64)))
         order = np.lexsort((node, value))
-        node, value = node[order], value[order]
+        node, value, info = node[order], value[order], info[order]
         first = np.ones(len(value), bool)
         first[1:] = value[1:] != value[:-1]
         led = first.copy()
         led[:-1] &= ~first[1:]
         led[-1:] = False
-        least = node[np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))]
+        flags = (2 * info + led).astype(np.int32)
         key = np.where(first, value, mix(value ^ mix(node.view(np.uint64)))).view(np.int64)
         value = value.view(np.int64)
         for at in range(0, len(node), 1 << 16):
             k = slice(at, at + (1 << 16))
-            yield pa.record_batch([pa.array(key[k]), pa.array(node[k]), pa.array(least[k], mask=first[k]), pa.array(value[k], mask=first[k]), pa.array(led[k])], names=["key", "node", "other", "print", "led"])
+            yield pa.record_batch([pa.array(key[k]), pa.array(node[k]), pa.array(value[k], mask=first[k]), pa.array(flags[k])], names=["key", "node", "print", "flags"])
 
-    return _texts(documents).mapInArrow(run, "key long, node long, other long, print long, led boolean")
+    return _texts(documents).mapInArrow(run, "key long, node long, print long, flags int")
 
 
 def _product(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
@@ -382,14 +387,13 @@ def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) of every row; see the module's text."""
     rows = materialize(classes(documents, n))
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # between tasks: each task's least node of a fingerprint meets the least of all
+    # every row of every fingerprint that two rows or more offer
     offered, per_key = offers(documents, n, bound), Window.partitionBy("key")
-    met = offered.withColumn("least", F.min("node").over(per_key)).withColumn("many", F.count("*").over(per_key))
-    shared = materialize(
-        met.where("other IS NOT NULL OR many > 1 OR led").select(F.coalesce("print", "key").alias("print"), "node", F.coalesce("other", "least").alias("other"))
-    )  # every row of every fingerprint that two rows or more offer
-    stars = shared.where("node <> other")
-    pairs = stars.select("node", "other").distinct()
+    many = offered.withColumn("many", F.count("*").over(per_key)).where("print IS NOT NULL OR many > 1 OR flags % 2 = 1")
+    shared = materialize(many.select(F.coalesce("print", "key").alias("print"), "node", F.expr("cast(flags div 2 as int)").alias("info")))
+    kept = materialize(_rarest(shared))
+    least = kept.groupBy("print").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other <> last").drop("last")
+    pairs = materialize(kept.join(least, "print").where("node <> other").select("node", "other").distinct())
     # a block: one least node and up to BLOCK_ROWS others, dealt by hash
     per_node = pairs.groupBy("other").agg(F.count("*").alias("n")).select("other", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
     dealt = pairs.join(per_node, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("k"))
@@ -408,7 +412,7 @@ def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
 
     # fingerprints of three rows or more that ended in different components; one
     # of two rows is settled, as its only pair has been multiplied
-    marked = shared.join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
+    marked = kept.join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
     judged = marked.groupBy("print").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.lit(1)).alias("n"))
     open_prints = judged.where("low <> high AND n > 2").select("print")
     rest = materialize(marked.join(open_prints, "print", "left_semi").distinct())
@@ -419,6 +423,21 @@ def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     return _named(rows, final)
 
 
+def _rarest(shared: DataFrame) -> DataFrame:
+    """(print, node) without each row's most frequent fingerprints, as many as it may leave out.
+
+    Fingerprints are ordered by how many rows share them, then by value.  A row
+    that has w groups under two n-grams may leave out e - w more: linked rows
+    agree in 1 + e groups, so the rarest they share is never left out by either.
+    Passages that many texts share are dropped here before they make blocks.
+    """
+    counts = shared.groupBy("print").agg(F.count("*").alias("n"))
+    sized = shared.join(counts, "print")
+    rank = F.row_number().over(Window.partitionBy("node", F.col("info") % 2).orderBy(F.col("n").desc(), F.col("print").desc()))
+    frequent = sized.where("n > 2").withColumn("rank", rank).where(F.col("rank") > F.floor(F.col("info") / 2))
+    return sized.where("n = 2").select("print", "node").union(frequent.select("print", "node"))
+
+
 def _squares(rest: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks (block, node, component) that hold every pair of a fingerprint's rows from different components.
 
