@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -24,20 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, compression: str = "zstd", free: bool = True) -> DataFrame:
+#: Spark's setting to delete a query's shuffle files once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage and survives the loss of any executor.  The files
-    belong to the checkpoint folder and go with it.  What was shuffled for them
-    is not needed any more; Spark deletes it when the driver's objects for it are
-    collected, which is asked for here, as else the disks fill up before that.
+    belong to the checkpoint folder and go with it.  What was shuffled to make
+    them is not needed any more and is deleted at once; by default Spark waits
+    for the driver's garbage collection, and disks fill up before that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geotiles-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,6 +23,8 @@ Every bigram that a task asks for travels once, with a count for the whole
 block, so frequent ones weigh no more than rare ones: a range gets at most one
 entry a block for each.  Counts cover all training texts.
 
+Words are told apart by 64-bit hashes, bigrams by 96 bits.
+
 Defined cases: a null text is empty, and its only token is the end; repeated
 rows are scored each and count each in training; without training texts N and V
 are 0 and every token has probability one in the base model; extra columns are
@@ -62,6 +64,21 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype=kind)
 
 
+#: Bits of a hash that travel with a bigram: 48 of the state and 48 of the word.
+MASK = np.uint64((1 << 48) - 1)
+
+
+def _six(x: np.ndarray) -> bytes:
+    """The low six bytes of each hash."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 1 (null: the id is an empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 1
@@ -154,7 +171,7 @@ def ask_bigrams(blocks: DataFrame, ranges: int) -> DataFrame:
                     if len(k):
                         s = state[k]
                         new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                        for name, value in (("range", r), ("block", row["block"]), ("states", s[new].tobytes()), ("runs", _pack(np.diff(np.append(new, len(k))).astype("<u4"))), ("words", word[k].tobytes()), ("counts", _pack(n[k].astype("<u4")))):
+                        for name, value in (("range", r), ("block", row["block"]), ("states", _six(s[new])), ("runs", _pack(np.diff(np.append(new, len(k))).astype("<u4"))), ("words", _six(word[k])), ("counts", _pack(n[k].astype("<u4")))):
                             out[name].append(value)
                 kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
                 for a in range(0, len(out["range"]), 64):
@@ -187,7 +204,7 @@ def answer_bigrams(asked: DataFrame, min_count: int = MIN_COUNT, discount: float
         part = asked.column("range")[0].as_py()
         blocks = asked.column("block").to_pylist()
         raw = {c: asked.column(c).to_pylist() for c in ("states", "runs", "words", "counts")}
-        plain = lambda c: np.concatenate([np.frombuffer(x, "<u8") for x in raw[c]])
+        plain = lambda c: np.concatenate([_from_six(x) for x in raw[c]])
         packed = lambda c: [_unpack(x, "<u4") for x in raw[c]]
         each = packed("counts")
         state, word, counts = np.repeat(plain("states"), np.concatenate(packed("runs"))), plain("words"), np.concatenate(each)
@@ -219,7 +236,7 @@ def ask_words(blocks: DataFrame, ranges: int) -> DataFrame:
                 words, n = _of(row, "words", "<u8"), _of(row, "n", "<u4")
                 starts = int((~np.array(row["held_out"], bool)).sum())
                 words, n = np.append(words, START), np.append(n, starts)
-                to = _ranges(mix(words), ranges)
+                to = _ranges(mix(words & MASK), ranges)  # as a state's mass is sent
                 order = np.argsort(to, kind="stable")
                 edges = np.searchsorted(to[order], np.arange(ranges + 1))
                 used = [r for r in range(ranges) if edges[r] < edges[r + 1]]
@@ -243,8 +260,9 @@ def answer_words(asked: DataFrame, mass: DataFrame, ranges: int) -> DataFrame:
         held = np.zeros(len(distinct))
         if len(mass):
             state = mass.column("to").to_numpy().view(np.uint64)
-            k = np.searchsorted(distinct, state)
-            held[k] = mass.column("mass").to_numpy()
+            order = np.argsort(state)
+            k = order[np.minimum(np.searchsorted(state[order], distinct & MASK), len(state) - 1)]
+            held = np.where(state[k] == distinct & MASK, mass.column("mass").to_numpy()[k], 0.0)
         real = distinct != START
         edges = np.cumsum([0, *map(len, words)])
         data = [(_pack(total[place[a:b]].astype("<u8")), _pack(held[place[a:b]].astype("<f8"))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -299,7 +317,7 @@ def score(blocks: DataFrame, bigram_answers: DataFrame, word_answers: DataFrame,
             return out
 
         with_start = np.append(vocabulary, START)
-        to = _ranges(mix(with_start), ranges)
+        to = _ranges(mix(with_start & MASK), ranges)
         counts, mass = answers(words, "counts", "<u8", to).astype(np.float64), answers(words, "mass", "<f8", to)
         steps, first = _bigrams(lengths, codes, size)
         arcs, at = np.unique(steps, return_inverse=True)
