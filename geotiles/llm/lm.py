@@ -1,10 +1,11 @@
 """Smoothed bigram model as a weighted backoff automaton, learned and applied at any size.
 
 The automaton has a state for every word of the training texts, one for the
-start of a text, and a root.  A state's arcs are the bigrams seen ``MIN_COUNT``
-times or more, with the discounted probability plus the share of the lower
-order; its failure arc leads to the root and weighs what the discounts and the
-rarer bigrams left over, so every state's probabilities sum to one.  The root
+start of a text, and a root.  A state's arcs are the bigrams seen ``min_count``
+times or more, in the registered query all of them, with the discounted
+probability plus the share of the lower order; its failure arc leads to the root
+and weighs what the discounts and any rarer bigrams left over, so every state's
+probabilities sum to one.  The root
 has an arc for every word: the add-half unigram.  Scoring reads a text once from
 left to right, carries the state, and takes the failure arc where a word has no
 arc.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from geotiles.llm.common import materialize, table
 from geotiles.llm.words import POWERS, hash_words, mix, slices
 
-#: Bigrams seen less often back off.
+#: Bigrams seen less often back off where a caller does not say; the registered query keeps them all.
 MIN_COUNT = 2
 DISCOUNT = 0.75
 #: Bytes of text in a block; one longer text is a block of its own.
@@ -370,4 +371,5 @@ def _with_range(ranges: int):
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    """Scores of all documents; every bigram of the training texts has its arc, single ones too."""
+    return lm_scores(table(spark, sf_dir, "documents"), min_count=1)

@@ -168,6 +168,11 @@ def test_lm(table, request):
     same(got, brute.lm(pairs(df)))
 
 
+def test_lm_query_keeps_single_bigrams(spark, real, data):
+    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in lm.op8_lm_scoring(spark, data).collect()]
+    same(got, brute.lm(pairs(real), least=1))
+
+
 def test_packing_round_trip(odd, real):
     tokenizer = Tokenizer.from_file(tokens.default_tokenizer())
     for df in (odd, real):
