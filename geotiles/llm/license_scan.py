@@ -7,6 +7,13 @@ no template has weighs as much as the rarest and counts once per occurrence.
 The passage's best template of ``THRESHOLD`` or more is its licence, and the
 text's is that of its best passage.
 
+Beside passages, the whole text, its comment blocks, paragraphs, and the lines
+and sentences in them are compared, lines joined and comment marks dropped,
+whatever words they have, with standard headers, licence texts, titles and
+sentences about every licence's name (``Blocks``).  A template may ask for words,
+a name or a version, without which a unit is not its licence.  An SPDX tag
+counts in full for each licence it names, known to a template or not.
+
 A file without a licence takes that of the nearest ancestor directory (its own
 first) which holds a licence file (LICENSE, COPYING, ...) with one.  Distinct
 directories are joined with the licensed ones by path; files then join their
@@ -56,6 +63,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 THRESHOLD = 0.6
 #: A passage is looked at if it names a licence.
 NAMES = "(?i)licen[cs]e|copyleft|public domain"
+#: Comment marks at the start of a line; ends of comments, and of runs of line comments, end a block.
+MARKS = r"(?m)^[ \t]*(?://+!?|/\*+!?|\*+|#+!?|--+|;+|%+|<!--|\"{3}|'{3}|dnl\b)[ \t]*"
+BLOCK_ENDS = r"(?m)\*+/|-->|(?<=\n)(?=[ \t]*[^\s/#;%*-])(?<=^[ \t]{0,80}(?://|#|--|;|%)[^\n]{0,400}\n)"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\n\r]*)"
 PASSAGES = r"\n|(?<=[.!?;])\x20"
 TOKENS = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicen[cs]e|notice)(?:\.[^/]*)?$"
@@ -100,26 +111,165 @@ def best_license(text: Column, weights: Weights | None = None) -> Column:
                     of = _literal(vector)
                     return sums(lambda p: p["x"] * F.coalesce(F.element_at(of, p["w"]), F.lit(0.0))) / norm
 
-                return best(F.array(*[F.struct(cosine(v).alias("score"), F.lit(name).alias("license")) for name, v in weights.vectors]))
+                return _best(F.array(*[F.struct(cosine(v).alias("score"), F.lit(name).alias("license")) for name, v in weights.vectors]))
 
             return let(parts, compared)
 
         return let(tokens, scored)
 
-    def best(found: Column) -> Column:
-        """The highest score, then the licence first in the alphabet."""
-        none = F.lit(None).cast("struct<score:double,license:string>")
-        better = lambda a, x: a.isNull() | (F.round(x["score"], 9) > F.round(a["score"], 9)) | ((F.round(x["score"], 9) == F.round(a["score"], 9)) & (x["license"] < a["license"]))
-        return F.aggregate(found, none, lambda a, x: F.when(x.isNotNull() & better(a, x), x).otherwise(a))
-
     passages = F.filter(F.split(text, PASSAGES, -1), lambda p: p.rlike(NAMES))
-    return F.when(text.rlike(NAMES), let(best(F.transform(passages, judge)), lambda b: F.when(F.round(b["score"], 4) >= THRESHOLD, F.struct(F.round(b["score"], 4).alias("score"), b["license"].alias("license")))))
+    return F.when(text.rlike(NAMES), let(_best(F.transform(passages, judge)), lambda b: F.when(F.round(b["score"], 4) >= THRESHOLD, F.struct(F.round(b["score"], 4).alias("score"), b["license"].alias("license")))))
+
+
+def _tokens(text: str) -> list[str]:
+    return re.findall(TOKENS, text.lower())
+
+
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_ONLY = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} version {1} as published by the Free Software Foundation."
+_HOPE = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_REST = " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_REST = " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_REST = " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
+#: Names of the licences in sentences.
+LICENSE_NAMES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0 License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC0-1.0": ("CC0 1.0 Universal Public Domain Dedication",),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL-2.0 License"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0 License"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "MIT": ("MIT License", "MIT License (MIT)"),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "Unlicense": ("The Unlicense",),
+}
+SENTENCES = (
+    "Licensed under the {}.", "Released under the {}.", "Distributed under the {}. See LICENSE for more information.",
+    "This project is licensed under the {} - see the LICENSE.md file for details.", "This software is licensed under the terms of the {}. See the LICENSE file.",
+)
+#: Words of a name that do not tell one licence from another.
+WEAK = frozenset(("the", "version", "v"))
+
+
+def _blocks() -> list[tuple[str, str, tuple[str, ...]]]:
+    """(licence, template, the words it asks for)."""
+    out = [(n, s.format(name), tuple(w for w in dict.fromkeys(_tokens(name)) if w not in WEAK)) for n, names in LICENSE_NAMES.items() for name in names for s in SENTENCES]
+    for n, name, version in (("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")):
+        need = ("gnu", name.split()[0].lower(), version)
+        out += [(n, t, need) for form in (_GNU, _GNU_ONLY) for t in (form.format(name, version), form.format(name, version) + _HOPE.format(name))]
+        date = {"GPL-2.0": "June 1991", "LGPL-2.1": "February 1999", "AGPL-3.0": "19 November 2007"}.get(n, "29 June 2007")
+        out.append((n, f"GNU {name} Version {version}, {date}", need))
+    out += [("MIT", "The MIT License (MIT)", ("mit", "license")), ("MIT", _MIT, ("sublicense",)), ("MIT", _MIT + _MIT_REST, ("sublicense",))]
+    out += [("BSD-2-Clause", _BSD + _BSD_REST, ("redistribution", "binary")), ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_REST, ("redistribution", "endorse"))]
+    out += [("Apache-2.0", _APACHE, ("apache", "2.0")), ("Apache-2.0", _APACHE + _APACHE_REST, ("apache", "2.0")), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", ("apache", "2.0"))]
+    out += [("ISC", _ISC, ("fee", "granted")), ("ISC", _ISC + _ISC_REST, ("fee", "granted")), ("MPL-2.0", _MPL, ("mozilla", "2.0")), ("MPL-2.0", "Mozilla Public License Version 2.0", ("mozilla", "2.0"))]
+    return [*out, ("Unlicense", _UNLICENSE, ("unencumbered",)), ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", ("cc0", "1.0"))]
+
+
+class Blocks:
+    """Templates of whole blocks, weighed among themselves as ``Weights`` does."""
+
+    def __init__(self) -> None:
+        made = _blocks()
+        self.weights = Weights(tuple((n, t) for n, t, _ in made))
+        self.needs = [need for _, _, need in made]
+
+    def literal(self) -> Column:
+        """All templates as one constant array of structs."""
+        quoted = lambda w: f"'{w}'"
+        rows = [
+            f"named_struct('license', {quoted(n)}, 'needs', array({', '.join(map(quoted, need))}), 'v', map({', '.join(f'{quoted(w)}, {x!r}D' for w, x in v.items())}))"
+            for (n, v), need in zip(self.weights.vectors, self.needs, strict=True)
+        ]
+        return F.expr(f"array({', '.join(rows)})")
+
+
+def _best(found: Column) -> Column:
+    """The highest score, then the licence first in the alphabet."""
+    none = F.lit(None).cast("struct<score:double,license:string>")
+    better = lambda a, x: a.isNull() | (F.round(x["score"], 9) > F.round(a["score"], 9)) | ((F.round(x["score"], 9) == F.round(a["score"], 9)) & (x["license"] < a["license"]))
+    return F.aggregate(found, none, lambda a, x: F.when(x.isNotNull() & better(a, x), x).otherwise(a))
+
+
+def spdx(text: Column) -> Column:
+    """struct<score, license> of the text's SPDX tags: of all licences they name, the first in the alphabet."""
+    asked = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda t: F.regexp_replace(t, r"(?i)\bWITH\s+\S+|\*/|-->", ""))
+    ids = F.flatten(F.transform(asked, lambda t: F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0))))
+    ids = F.transform(F.filter(ids, lambda i: ~F.upper(i).isin("AND", "OR", "WITH", "NONE", "NOASSERTION")), lambda i: F.regexp_replace(i, r"(?:-only|-or-later|\+)$", ""))
+    return F.when(F.size(ids) > 0, F.struct(F.lit(1.0).alias("score"), F.array_min(ids).alias("license")))
+
+
+def units(text: Column) -> Column:
+    """The whole text, its comment blocks, paragraphs, sentences and lines, without comment marks."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r", ""), BLOCK_ENDS, "\f\n"), MARKS, "")
+
+    def cut(plain: Column) -> Column:
+        paragraphs = F.split(plain, r"\f|\n[ \t]*(?=\n)", -1)
+        sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.!?;])\s+(?=[A-Z(\"])", -1)))
+        return F.array_distinct(F.concat(F.array(plain), F.split(plain, "\f", -1), paragraphs, sentences, F.split(plain, r"[\n\f]", -1)))
+
+    return let(plain, cut)
+
+
+def best_block(text: Column, blocks: Blocks | None = None) -> Column:
+    """struct<score, license> of the best of the text's units, null where none reaches the threshold."""
+    blocks = blocks or Blocks()
+    weights, templates = blocks.weights, blocks.literal()
+    idf = F.expr(f"map({', '.join(f'\'{w}\', {x!r}D' for w, x in weights.idf.items())})")
+
+    def judge(unit: Column) -> Column:
+        def scored(tokens: Column) -> Column:
+            known = F.filter(tokens, lambda w: w.isin(*weights.idf))
+            unknown = (F.size(tokens) - F.size(known)) * F.lit(weights.rarest**2)
+
+            def counted(known: Column) -> Column:
+                return F.transform(F.array_distinct(known), lambda w: F.struct(w.alias("w"), (F.size(F.filter(known, lambda x: x == w)) * F.element_at(idf, w)).alias("x")))
+
+            def compared(parts: Column) -> Column:
+                square = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
+                words = F.transform(parts, lambda p: p["w"])
+
+                def against(words: Column, norm2: Column) -> Column:
+                    dot = lambda t: F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["x"] * F.coalesce(F.element_at(t["v"], p["w"]), F.lit(0.0)))
+                    able = F.filter(templates, lambda t: F.size(F.array_except(t["needs"], words)) == 0)
+                    return _best(F.transform(able, lambda t: F.struct((dot(t) / F.sqrt(norm2)).alias("score"), t["license"].alias("license"))))
+
+                # no cosine is above the known words' share of the norm: most units end here
+                return let(square, lambda q: F.when((q > 0) & (q >= (THRESHOLD - 1e-3) ** 2 * (q + unknown)), let(words, lambda w: against(w, q + unknown))))
+
+            return let(let(known, counted), compared)
+
+        return let(F.regexp_extract_all(F.regexp_replace(F.lower(unit), "licence", "license"), F.lit(TOKENS), F.lit(0)), scored)
+
+    found = _best(F.transform(units(text), judge))
+    return let(found, lambda b: F.when(F.round(b["score"], 4) >= THRESHOLD, F.struct(F.round(b["score"], 4).alias("score"), b["license"].alias("license"))))
+
+
+def own_license(text: Column, weights: Weights | None = None) -> Column:
+    """struct<score, license> of the best of the text's passages, blocks and SPDX tags."""
+    return _best(F.array(best_license(text, weights), best_block(text), spdx(text)))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", weights: Weights | None = None) -> DataFrame:
     """``files`` without the text, with ``license``, ``score``, ``found`` ("file" or "inherited") and ``found_in``."""
     rest = [c for c in files.columns if c not in (text, path, "license", "score", "found", "found_in")]
-    own = files.select(F.struct(F.lit(True), *[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(path).alias("_path"), best_license(text_or_empty(text), weights).alias("_own"))
+    own = files.select(F.struct(F.lit(True), *[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(path).alias("_path"), own_license(text_or_empty(text), weights).alias("_own"))
     own = own.withColumn("_dir", F.regexp_replace("_path", "/?[^/]*$", ""))
     own = own.withColumn("_declares", F.coalesce(F.regexp_extract("_path", "[^/]*$", 0).rlike(LICENSE_FILE), F.lit(False)))
     own = materialize(own)

@@ -300,6 +300,25 @@ def test_licences(spark):
     ])
 
 
+def test_licences_of_headers_tags_and_whole_texts(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
+    bsd = "Copyright 2019 Jo Doe\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    gpl = "{0} This program is free software: you can redistribute it and/or modify\n{0} it under the terms of the GNU General Public License as published by\n{0} the Free Software Foundation, either version {1} of the License, or\n{0} (at your option) any later version.\nint main() {{ return some_function(with, other, words); }}\n"
+    cases = [
+        ("// SPDX-License-Identifier: MIT\n#include <x.h>\nint qux;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0"), ("; SPDX-License-Identifier: EUPL-1.2", "EUPL-1.2"),
+        (gpl.format("//", 3), "GPL-3.0"), (gpl.format("#", 2), "GPL-2.0"), (" ".join(gpl.format("", 3).split("\n")[:4]), "GPL-3.0"), (gpl.format(" *", 3).replace("General", "Affero General"), "AGPL-3.0"),
+        ("Foo bar baz.\n\nThis project is licensed under the MIT License - see the LICENSE.md file for details\n\nQuux.", "MIT"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nvar quux = foo(bar);", "MPL-2.0"),
+        (mit, "MIT"), ("Copyright (c) 2020 Jo Doe\n\n" + mit, "MIT"), (bsd, "BSD-2-Clause"),
+        (bsd + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", "BSD-3-Clause"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", "GPL-3.0"),
+        ("See the LICENSE file for details.", None), ("the terms of the licence of this project", None), ("Er kommt mit dem Zug. Mit. Mit\nmit", None),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, (t, _) in enumerate(cases)], "i long, path string, text string")
+    got = {r["i"]: r["license"] for r in license_scan.scan(df).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_duckdb(spark, data, name):
     c = duckdb.connect()
