@@ -5,13 +5,15 @@ Beyond them, every run of token characters in every text is a candidate.
 Labelled credentials are turned into a prefix tree whose statistically
 compatible states are merged, lowest first, under Hoeffding's bound; the merged
 tree is a probabilistic automaton per credential kind.  The same is done for
-ordinary words of the corpus.  A candidate becomes a span of kind ``format``
+what token characters ordinarily hold: the corpus's candidates outside base
+spans, beside generated words.  A candidate becomes a span of kind ``format``
 when the best credential automaton explains it better than the ordinary one by
 ``MARGIN`` nats a character and it is neither a word, a number nor an address.
 
 Training takes, per kind, the ``TRAIN_ROWS`` base values with the lowest hash
 (a documented bound on labelled rows), besides exemplars generated from public
-credential formats.  Everything else looks at all texts.
+credential formats; and the ``TRAIN_ROWS`` distinct candidates without a label
+with the lowest hash.  Everything else looks at all texts.
 
 Defined cases: a null text is empty and has no spans; very long texts are
 scanned whole; repeated rows each give their row; an empty table gives an empty
@@ -231,14 +233,18 @@ class Model:
 
 
 def labelled(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` distinct base values of each kind: those with the lowest hashes."""
+    """At most ``rows`` distinct base values of each kind, and candidates outside them as kind ``format``: those with the lowest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, values = [], []
             for text in batch.column(0).to_pylist():
                 if text:
-                    for start, kind, end in base_spans(text):
+                    base = base_spans(text)
+                    for start, end in free(text, base):
+                        kinds.append(KINDS[3])
+                        values.append(text[start:end])
+                    for start, kind, end in base:
                         value = text[start:end]
                         kinds.append(KINDS[kind])
                         values.append(ASSIGN.match(value)[1] if kind == 0 else value)
@@ -246,31 +252,37 @@ def labelled(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, st
 
     found = documents.select(F.col("text").cast("string")).mapInArrow(run, "kind string, value string").where(F.length("value") <= 200).distinct()
     out = []
-    for kind in KINDS[:3]:  # three bounded top-k jobs' worth of rows, no group in one task
+    for kind in KINDS:  # four bounded top-k jobs' worth of rows, no group in one task
         out += found.where(F.col("kind") == kind).select("kind", "value").orderBy(F.xxhash64("value"), "value").limit(rows).collect()
     return [(r["kind"], r["value"]) for r in out]
 
 
 def train(values: Iterable[tuple[str, str]]) -> Model:
     by: dict[str, list[str]] = exemplars()
+    plain = ordinary()
     for kind, value in values:
-        if len(value) >= SHORTEST:
+        if kind == KINDS[3]:
+            plain.append(value)
+        elif len(value) >= SHORTEST:
             by.setdefault(f"corpus_{kind}", []).append(value)
-    return Model({kind: infer(words) for kind, words in by.items()}, infer(ordinary()))
+    return Model({kind: infer(words) for kind, words in by.items()}, infer(plain))
 
 
-def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: those of the method never overlap a base one."""
-    base = base_spans(text)
-    taken, extra = sorted((s, e) for s, _, e in base), []
+def free(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of the candidates that overlap no base span."""
+    taken = sorted((s, e) for s, _, e in base)
     k = 0
     for m in CANDIDATE.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if any(s < m.end() and e > m.start() for s, e in taken[k : k + 8]):
-            continue
-        if model.is_secret(m[0]):
-            extra.append((m.start(), 3, m.end()))
+        if not any(s < m.end() and e > m.start() for s, e in taken[k : k + 8]):
+            yield m.start(), m.end()
+
+
+def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans: those of the method never overlap a base one."""
+    base = base_spans(text)
+    extra = [(start, 3, end) for start, end in free(text, base) if model.is_secret(text[start:end])]
     return base, sorted(base + extra)
 
 

@@ -161,6 +161,22 @@ def test_secret_formats_held_out():
     assert np.mean([model.is_secret(w) for w in secret_scan.ordinary(1000, seed=98)]) < 0.01
 
 
+def test_plain_tokens_of_the_corpus_are_no_secrets(spark):
+    rng = random.Random(6)
+
+    def tokens():
+        a, b = rng.choice(("iPhone", "Galaxy", "Pixel", "iPad")), rng.choice(("ProMaxCaseBlack", "UltraCoverBlue", "MiniCaseGreen"))
+        n = lambda k: "".join(rng.choices("0123456789", k=k))
+        return [f"{a}{n(2)}{b}", f"ISO-{n(4)}-{n(1)}-Zeichensatz", f"COVID-{n(2)}-Impfzentrum", f"IMG_{n(8)}_{n(6)}_HDR", f"UTF{n(1)}ToUTF{n(2)}Converter"]
+
+    seen = [t for _ in range(250) for t in tokens()]
+    df = spark.createDataFrame([(i, f"see {t} and\n{t}") for i, t in enumerate(seen)] + [(9999, "key ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5 end")], "doc_id long, text string")
+    model = secret_scan.train(secret_scan.labelled(df))
+    held = [t for _ in range(100) for t in tokens()]
+    assert np.mean([model.is_secret(t) for t in held]) < 0.02
+    assert "ghp_" not in secret_scan.redact(df.where("doc_id = 9999"), model).collect()[0]["text"]
+
+
 @pytest.mark.parametrize("table", ["odd", "real"])
 def test_lm(table, request):
     df = request.getfixturevalue(table)
