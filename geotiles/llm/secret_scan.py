@@ -8,7 +8,7 @@ tree is a probabilistic automaton per credential kind.  The same is done for
 what token characters ordinarily hold: the corpus's candidates outside base
 spans, beside generated words.  A candidate becomes a span of kind ``format``
 when the best credential automaton explains it better than the ordinary one by
-``MARGIN`` nats a character and it is neither a word, a number nor an address.
+``MARGIN`` nats a character, whatever its characters.
 
 Training takes, per kind, the ``TRAIN_ROWS`` base values with the lowest hash
 (a documented bound on labelled rows), besides exemplars generated from public
@@ -226,8 +226,6 @@ class Model:
     margin: float = MARGIN
 
     def is_secret(self, word: str) -> bool:
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-            return False
         best = max(a.score(word) for a in self.credentials.values())
         return best - self.plain.score(word) > self.margin * len(word)
 

@@ -161,6 +161,14 @@ def test_secret_formats_held_out():
     assert np.mean([model.is_secret(w) for w in secret_scan.ordinary(1000, seed=98)]) < 0.01
 
 
+def test_letters_alone_may_be_secret():
+    model, rng = secret_scan.train([]), random.Random(7)
+    letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=k))
+    assert np.mean([model.is_secret(letters(32)) for _ in range(300)]) > 0.9
+    assert np.mean([model.is_secret(letters(16)) for _ in range(300)]) > 0.8
+    assert np.mean([model.is_secret(w) for w in secret_scan.ordinary(1000, seed=97)]) < 0.01
+
+
 def test_plain_tokens_of_the_corpus_are_no_secrets(spark):
     rng = random.Random(6)
 
