@@ -43,7 +43,30 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._geotiles_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing that is still to run may read it."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._geotiles_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``names`` has not, in any case of letters."""
+    taken = {x.lower() for x in names}
+    out = []
+    for name in wanted:
+        k = 0
+        while f"_{name}{k}" in taken:
+            k += 1
+        taken.add(f"_{name}{k}")
+        out.append(f"_{name}{k}")
+    return out
 
 
 def let(value: Column, body) -> Column:

@@ -1,147 +1,109 @@
 """Exact Jaccard self-join on word n-grams, and its connected classes.
 
 Documents are rows and n-grams columns of a sparse 0/1 matrix A; the overlaps
-of all pairs are the product of A with its transpose.  Only the blocks of that
-product that can hold a link are computed:
-
-1. Equal rows are one row.  Pairs whose sizes differ too much for the wanted
-   similarity are discarded: sizes fall into levels such that links join a level
-   with itself or the next.
-2. Two linked sets differ in at most d elements, d following from the sizes.
-   The n-grams are dealt by hash to d + 1 + e column groups; a linked pair must
-   agree in at least 1 + e of them.  A row offers a fingerprint of every column
-   group it holds two n-grams or more of; a row with over e smaller groups
-   offers all of its groups.  So linked pairs always share a fingerprint.
-3. Rows that share a fingerprint are joined with the least of them, first within
-   a task and then between tasks (so a fingerprint that a third of all rows
-   share sends one row per task), which gives blocks of one row times up to
-   ``BLOCK_ROWS`` others.  A block's product is accumulated over slices of its
-   columns, and pairs below the size-derived bound are discarded: before it those
-   with too few equal column groups, after it the rest.
-4. Connected components follow.  Where rows that share a fingerprint ended in
-   different components, all their blocks are multiplied, until none is left
-   unseen.  Pairs inside one component need no look, as they link nothing new.
+of all pairs are the product of A with its transpose.  Only the part of that
+product that can hold a link is computed:
+
+1. Equal rows are one row, a node.
+2. Two linked sets share at least t * size n-grams of either.  Each row shows its lowest
+   hashes, a few more than it may miss; of these so many must be held by another
+   row too (``Bound.shown``, ``Bound.needed``).  Rows that cannot link leave here, and only the
+   rest, some fifth of all, has its whole row of A written.
+3. Columns are ordered by how many rows hold them, rarest first.  A row offers the
+   first size - ceil(t * size) + 1 of its columns, the first
+   size - ceil(2 t / (1 + t) * size) + 1 of them as the smaller set of a pair.  A linked pair
+   meets in a column that the smaller set offers as the smaller one.
+4. Of every column the row with the fewest rarer n-grams is the centre.  Rows are joined with the
+   centres that they meet, if sizes and places leave room for the wanted overlap, in
+   blocks of one centre times up to ``BLOCK_ROWS`` others.  A block's product is
+   accumulated over slices of its columns; pairs below the size-derived bound go.
+5. Connected components follow.  Columns whose rows ended in several
+   components are cut into runs of about ``RUN_ROWS`` rows of like size, one packed row
+   each, and runs are compared by parity sketches: the number of bits
+   in which two sketches differ never exceeds the number of n-grams in which the
+   sets do, so what it rules out is rightly out.  What is left is multiplied.
 
 The result is exact (but for equal 64-bit hashes of different n-grams).  No
-cap applies to any bucket: large ones are cut into blocks.
+cap applies to any column: frequent ones are cut into runs, and hot ones are
+split by adaptive execution, as both sides of each join are read from tables.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; texts with fewer words than n have one n-gram, the whole; repeated
 rows are one class; a null doc_id takes part, and its class takes the least
-other id; extra columns are ignored; an empty table gives an empty result.
+other id; extra columns are ignored, whatever their names; an empty table gives
+an empty result.  Ties between columns and centres are broken by hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geotiles.llm.common import materialize, table
+from geotiles.llm.common import discard, materialize, table, unused
 from geotiles.llm.components import components
 from geotiles.llm.words import POWERS, hash_words, mix, shingles, slices
 
-#: Rows of a block besides the one they are multiplied with, or of either side of a square block.
+#: Rows of a block besides the one they are multiplied with.
 BLOCK_ROWS = 63
+#: Elements of a block's sets, about, from which it is cut smaller.
+BLOCK_ELEMENTS = 1 << 21
+#: Rows of a run.
+RUN_ROWS = 256
 #: Columns whose overlaps are accumulated at once.
 COLUMN_SLICE = 1 << 15
 #: Ids (8 bytes each) that may be broadcast.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
+#: Offers (16 bytes each) that a task holds before it sends them.
+HELD_OFFERS = 1 << 22
 
 
 @dataclass(frozen=True)
 class Bound:
-    """Jaccard similarity of at least ``num / den``."""
+    """Jaccard similarity of at least ``num / den``; all in whole numbers, of scalars or arrays."""
 
     num: int
     den: int
 
-    def levels(self, most: int) -> np.ndarray:
-        """Least sizes of the levels, up to beyond ``most``."""
-        out = [1]
-        while out[-1] <= most:
-            out.append(max(out[-1] + 1, out[-1] * self.den // self.num + 1))
-        return np.array([*out, max(out[-1] + 1, out[-1] * self.den // self.num + 1)])
+    def overlap(self, n):
+        """What a set of ``n`` elements shares at least with any that it links."""
+        return -(-self.num * n // self.den)
 
-    def links(self, a: np.ndarray, b: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    def links(self, a, b, overlap):
         return self.den * overlap >= self.num * (a + b - overlap)
 
-    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def differ(self, a, b):
         """Elements in which linked sets of these sizes may differ."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
-    @lru_cache(maxsize=None)  # noqa: B019
-    def groups(self, low: int, high: int) -> tuple[int, int]:
-        """Column groups, and how many of them may go unoffered, for sets of low..high-1 elements."""
-        differ = (self.den - self.num) * 2 * (high - 1) // (self.den + self.num)
-        if differ == 0:
-            return 0, 0  # only equal sets link, and they are one row already
-        spare = 1
-        for _ in range(20):
-            k = differ + 1 + spare
-            mean = (low + high) / 2 / k
-            small = np.exp(-mean) * (1 + mean)
-            spare = max(spare, int(k * small + 3 * np.sqrt(k * small)) + 1)
-            if spare > differ // 2 + 2:
-                spare = differ // 2 + 2
-                break
-        return differ + 1 + spare, spare
-
-
-@dataclass
-class Cells:
-    """Column groups of rows at one meeting level, one row's after the other."""
-
-    meet: np.ndarray  # of each row
-    groups: np.ndarray  # number of each row's groups
-    spare: np.ndarray  # of each row
-    owner: np.ndarray  # of each cell
-    count: np.ndarray  # elements of each cell
-    value: np.ndarray  # fingerprint of each cell
-
-
-def cells(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound, up: int) -> Cells:
-    """Column groups for meeting rows of the own level (up 0) or of the next (up 1)."""
-    starts = bound.levels(int(sizes.max(initial=1)))
-    meet = np.searchsorted(starts, sizes, side="right") - 1 + up
-    kinds = np.zeros((int(meet.max(initial=0)) + 1, 2), np.int64)  # of the upper level, for both that meet
-    for m in np.unique(meet[sizes > 0]).tolist():
-        kinds[m] = bound.groups(int(starts[m]), int(starts[m + 1]))
-    k, spare = np.where(sizes > 0, kinds[meet, 0], 0), kinds[meet, 1]
-    mine = k[rows] > 0
-    r, v = rows[mine], values[mine]
-    part = ((v >> np.uint64(32)) * k[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    first = np.cumsum(k) - k
-    cell = first[r] + part  # sorted, as parts are ranges of the hash
-    total = np.zeros(len(v) + 1, np.uint64)
-    np.cumsum(mix(v + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
-    edge = np.searchsorted(cell, np.arange(k.sum() + 1))
-    owner = np.repeat(np.arange(len(k)), k)
-    place = np.arange(k.sum()) - first[owner]
-    value = mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(meet[owner].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)))
-    return Cells(meet, k, spare, owner, np.diff(edge), value)
-
-
-def fingerprints(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, fingerprint, 2 * drop + up) of everything that the rows offer; rows and values sorted by both.
-
-    ``drop``: how many of its most frequent fingerprints for this level the row may still leave out.
-    """
-    out_rows, out_values, out_info = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for up in (0, 1):
-        c = cells(rows, values, sizes, bound, up)
-        few = c.count < 2
-        weak = np.bincount(c.owner[few], minlength=len(sizes))
-        offered = ~few | (weak > c.spare)[c.owner]
-        out_rows.append(c.owner[offered])
-        out_values.append(c.value[offered])
-        out_info.append((2 * np.maximum(c.spare - weak, 0) + up)[c.owner[offered]])
-    return np.concatenate(out_rows), np.concatenate(out_values), np.concatenate(out_info)
+    def shown(self, n):
+        """Lowest hashes that a set of ``n`` elements shows: all but overlap(n), and 1 + n / 10 more."""
+        return np.minimum(n, n - self.overlap(n) + 1 + n // 10)
+
+    def needed(self, n):
+        """How many of the hashes that it shows a set shares at least with any that it links.
+
+        Of ``overlap`` common elements, either set hides no more than
+        overlap(own size) - 1 - (own size) / 10; the partner has overlap(n) elements at least.
+        """
+        return 1 + self.overlap(n) // 10
+
+    def offers(self, size: str = "size") -> str:
+        """SQL: columns that a row offers."""
+        return f"({size} - ceil({self.num}L * {size} / {self.den}) + 1)"
+
+    def offers_as_smaller(self, size: str = "size") -> str:
+        """SQL: columns that a row offers as the smaller set of a pair."""
+        return f"({size} - ceil({2 * self.num}L * {size} / {self.den + self.num}) + 1)"
+
+    def sketch_bits(self, n):
+        """Bits of a set's sketch: a power of two, about 16 times the elements in which it may differ from others."""
+        wanted = np.maximum(16 * self.differ(n, n), 256)
+        return 1 << np.ceil(np.log2(wanted)).astype(np.int64)
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,18 +134,40 @@ def classes(documents: DataFrame, n: int) -> DataFrame:
     return _texts(documents).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def offers(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
-    """(key, node, print, flags): what every task's rows offer.
+#: Kinds of rows that ``shows`` makes: a hash of one row of the task, one that several rows of it show, and (odd) a row's tally.
+_SINGLE, _SHARED = 0, 2
+
+
+def shows(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """(key, node, n): the hashes that rows show, and their tallies.
 
-    A fingerprint's least node of the task has ``key`` the fingerprint, and
-    the lowest bit of ``flags`` if others of the task share it; those others have
-    ``print`` the fingerprint and a key of their own, so that however many they
-    are, a later shuffle spreads them.  The other bits are the row's drop and up.
+    A hash that several rows of a task show is sent once, however many they are, as the rows'
+    tallies already count it; so a hash that a third of all rows show comes once from each
+    task.  A tally is what a row shares within the task less what it needs, twice, and one; its
+    key is its own.
     """
 
+    def sent(nodes: list, keys: list, known: list, needs: list) -> Iterator[pa.RecordBatch]:
+        known, needs = np.concatenate(known), np.concatenate(needs)
+        at, key = np.concatenate(nodes), np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        tally = np.bincount(at[~alone], minlength=len(known)) - needs
+        own = mix(known ^ np.uint64(0x9FB21C651E98DF25))
+        key = np.concatenate([key[first], own]).view(np.int64)
+        node = np.concatenate([known[at[first]], known]).view(np.int64)
+        kind = np.concatenate([np.where(alone[first], _SINGLE, _SHARED), 2 * tally + 1]).astype(np.int32)
+        for low in range(0, len(key), 1 << 16):
+            k = slice(low, low + (1 << 16))
+            yield pa.record_batch([pa.array(key[k]), pa.array(node[k]), pa.array(kind[k])], names=["key", "node", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        nodes, prints, infos = [], [], []
+        held, nodes, keys, known, needs = 0, [], [], [], []
         for batch in batches:
             for _, rows, values, sizes, node in _sets(batch.column("text"), n):
                 fresh = np.zeros(len(sizes), bool)
@@ -191,27 +175,92 @@ def offers(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
                     if sizes[i] and x not in seen:
                         seen.add(x)
                         fresh[i] = True
-                keep = fresh[rows]
-                r, v, i = fingerprints(rows[keep], values[keep], np.where(fresh, sizes, 0), bound)
-                nodes.append(node[r].view(np.int64))
-                prints.append(v)
-                infos.append(i)
-        node, value, info = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((nodes, np.int64), (prints, np.uint64), (infos, np.int64)))
-        order = np.lexsort((node, value))
-        node, value, info = node[order], value[order], info[order]
-        first = np.ones(len(value), bool)
-        first[1:] = value[1:] != value[:-1]
-        led = first.copy()
-        led[:-1] &= ~first[1:]
-        led[-1:] = False
-        flags = (2 * info + led).astype(np.int32)
-        key = np.where(first, value, mix(value ^ mix(node.view(np.uint64)))).view(np.int64)
-        value = value.view(np.int64)
-        for at in range(0, len(node), 1 << 16):
-            k = slice(at, at + (1 << 16))
-            yield pa.record_batch([pa.array(key[k]), pa.array(node[k]), pa.array(value[k], mask=first[k]), pa.array(flags[k])], names=["key", "node", "print", "flags"])
-
-    return _texts(documents).mapInArrow(run, "key long, node long, print long, flags int")
+                place = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
+                keep = place < np.where(fresh, bound.shown(sizes), 0)[rows]
+                number = np.cumsum(fresh) - 1 + sum(map(len, known))
+                nodes.append(number[rows[keep]])
+                keys.append(values[keep])
+                known.append(node[fresh])
+                needs.append(bound.needed(sizes[fresh]))
+                held += int(keep.sum())
+                if held > HELD_OFFERS:
+                    yield from sent(nodes, keys, known, needs)
+                    seen.clear()
+                    held, nodes, keys, known, needs = 0, [], [], [], []
+        if held:
+            yield from sent(nodes, keys, known, needs)
+
+    return _texts(documents).mapInArrow(run, "key long, node long, n int")
+
+
+def may_link(shown: DataFrame) -> DataFrame:
+    """(node) of the rows that share as many of the hashes they show as a link needs."""
+    per_key = Window.partitionBy("key")
+    marked = shown.select("node", "n", (F.min("node").over(per_key) != F.max("node").over(per_key)).alias("met"), F.max(F.col("n") == _SHARED).over(per_key).alias("shared"))
+    tally = F.when(F.expr("n & 1 = 1"), F.shiftright("n", 1)).otherwise(F.lit(1))
+    counted = marked.where(f"n & 1 = 1 OR n = {_SINGLE} AND (met OR shared)").select("node", tally.cast("long").alias("x"))
+    return counted.groupBy("node").agg(F.sum("x").alias("x")).where("x >= 0").select("node")
+
+
+def _texts_of(documents: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose id is that of one row of each node.
+
+    The ids are broadcast if there are few, and joined by a shuffle otherwise.
+    """
+    wanted = materialize(nodes.join(ids, "node").select("doc_id").distinct())
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return _texts(documents).alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+
+
+def node_sets(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """(node, size, set, sketch) for ``nodes``; bit h of a sketch tells whether the elements of hash h are odd in number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, values, sizes, node in _sets(batch.column("text"), n):
+                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values.view(np.int64))
+                bits = bound.sketch_bits(sizes)
+                ends = np.cumsum(bits)
+                at = (ends - bits)[rows] + (values & (bits - 1).astype(np.uint64)[rows]).astype(np.int64)
+                packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8))
+                sketch = pa.array([packed[(b - k) // 8 : b // 8].tobytes() for b, k in zip(ends.tolist(), bits.tolist(), strict=True)], pa.binary())
+                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), sets, sketch], names=["node", "size", "set", "sketch"])
+
+    # rows of one id may have different texts, and copies of a text the same node
+    made = _texts_of(documents, ids, nodes).mapInArrow(run, "node long, size long, set array<long>, sketch binary")
+    return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def offers(sets: DataFrame, bound: Bound) -> DataFrame:
+    """(gram, node, size, place, smaller): columns that rows offer, of those that two rows or more hold.
+
+    ``place`` counts from 1 in the order of rarity; what only one row holds comes first and is offered by none.
+    """
+    cells = sets.select("node", "size", F.explode("set").alias("gram"))
+    counts = materialize(cells.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"))
+    per_node = Window.partitionBy("node")
+    ranked = cells.join(counts, "gram").select("gram", "node", "size", F.row_number().over(per_node.orderBy("held", "gram")).alias("k"), F.count("*").over(per_node).alias("known"))
+    placed = ranked.select("gram", "node", "size", (F.col("size") - F.col("known") + F.col("k")).alias("place")).where(f"place <= {bound.offers()}")
+    out = materialize(placed.withColumn("smaller", F.expr(f"place <= {bound.offers_as_smaller()}")))
+    discard(counts)
+    return out
+
+
+def _with_centres(offered: DataFrame, bound: Bound) -> DataFrame:
+    """(node, other, size): rows and the centres that they meet and may link."""
+    least = offered.where("smaller").groupBy("gram").agg(F.min(F.struct("place", "node", "size")).alias("c"))
+    centres = materialize(least.select("gram", F.col("c.node").alias("other"), F.col("c.size").alias("o_size"), F.col("c.place").alias("o_place")))
+    room = f"{bound.den + bound.num} * (least(place, o_place) + least(size - place, o_size - o_place)) >= {bound.num} * (size + o_size)"
+    return offered.join(centres, "gram").where(f"node <> other AND {room}").select("node", "other", "size").distinct()
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(block, node): one centre and up to about ``BLOCK_ROWS`` of its rows, dealt by hash."""
+    cut = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_ELEMENTS)).alias("blocks")
+    per_node = materialize(pairs.groupBy("other").agg(cut))
+    dealt = pairs.join(per_node, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("k"))
+    members = dealt.select(F.xxhash64("other", "k").alias("block"), "node")
+    return members.union(dealt.select(F.xxhash64("other", "k").alias("block"), F.col("other").alias("node")).distinct())
 
 
 def _product(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
@@ -225,9 +274,10 @@ def _product(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     at = np.cumsum(np.append(0, np.diff(at) != 0)) if len(at) else at
     out = np.zeros((count, count), np.float64)
     last = int(at[-1]) + 1 if len(at) else 0
-    for low in range(0, last, COLUMN_SLICE):
-        a, b = np.searchsorted(at, [low, low + COLUMN_SLICE])
-        dense = np.zeros((count, min(COLUMN_SLICE, last - low)), np.float32)
+    step = max(1 << 10, COLUMN_SLICE * BLOCK_ROWS // max(count, BLOCK_ROWS))
+    for low in range(0, last, step):
+        a, b = np.searchsorted(at, [low, low + step])
+        dense = np.zeros((count, min(step, last - low)), np.float32)
         dense[rows[a:b], at[a:b] - low] = 1
         out += dense @ dense.T
     return out.astype(np.int64)
@@ -271,201 +321,110 @@ def multiply(blocks: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
         a, b = _block_links(block, bound)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return blocks.join(sets, "node").groupBy("block").applyInArrow(run, "a long, b long")
+    return blocks.join(sets.select("node", "set"), "node").groupBy("block").applyInArrow(run, "a long, b long").distinct()
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
-    """The least row that each row of a symmetric matrix reaches."""
-    least = np.arange(len(links))
-    while True:
-        near = np.where(links, least[None, :], len(links)).min(axis=1, initial=len(links))
-        now = np.minimum(least, near)
-        now = now[now]
-        if (now == least).all():
-            return least
-        least = now
+def _run_pairs(rest: DataFrame, bound: Bound) -> tuple[DataFrame, DataFrame]:
+    """Runs (run, nodes), and pairs of runs (a, b) in which rows of two components may link.
 
-
-def possible(blocks: DataFrame, sketches: DataFrame, bound: Bound) -> DataFrame:
-    """(block, node, root): the rows that may link another row of their block.
-
-    ``blocks`` also has ``component``, and rows of one component need no link.
-    Rows are compared by their column groups' fingerprints, cut to 16 bits:
-    equal ones stay equal, so a pair with too few equal ones is rightly
-    discarded.  ``root`` is the least node that such pairs reach in the block.
+    Rows of a column are dealt into runs of about ``RUN_ROWS`` by size level and hash; linked
+    sets are of one level or of two that follow each other.  Equal runs of
+    several columns are one, and so are their pairs.
     """
-
-    def run(block: pa.Table) -> pa.Table:
-        nodes, level = block.column("node").to_numpy(), block.column("level").to_numpy()
-        size, component = block.column("size").to_numpy(), block.column("component").to_numpy()
-        own, upper = ([np.frombuffer(x, np.uint16) for x in block.column(c).to_pylist()] for c in ("own", "upper"))
-        may = np.zeros((len(nodes), len(nodes)), bool)
-        for m in np.unique(level).tolist():
-            here = np.flatnonzero(level == m)
-            for there, mine, wanted in ((here, own, m), (np.flatnonzero(level == m + 1), upper, m + 1)):
-                if len(there) and len(mine[here[0]]):
-                    held = np.stack([own[i] for i in there])
-                    need = 1 + spare[wanted]
-                    for i in here:
-                        may[i, there] = (held == mine[i]).sum(axis=1) >= need
-        may |= may.T
-        most = bound.differ(size[:, None], size[None, :])
-        may &= (np.abs(size[:, None] - size[None, :]) <= most) & (component[:, None] != component[None, :])
-        keep = may.any(axis=1)
-        order = np.argsort(nodes)
-        least = np.empty(len(nodes), np.int64)
-        least[order] = order[_forest(may[np.ix_(order, order)])]
-        return pa.table({"block": block.column("block"), "node": pa.array(nodes), "root": pa.array(nodes[least])}).filter(pa.array(keep))
-
-    starts = bound.levels(1 << 40)
-    spare = [bound.groups(int(a), int(b))[1] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    return blocks.join(sketches, "node").groupBy("block").applyInArrow(run, "block long, node long, root long")
-
-
-def _texts_of(documents: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows whose id is that of one row of each node.
-
-    The ids are broadcast if there are few, and joined by a shuffle otherwise.
+    step = float(np.log(bound.den / bound.num)) + 1e-6
+    sized = rest.withColumn("level", F.floor(F.log("size") / step))
+    counts = materialize(sized.groupBy("gram", "level").agg(F.ceil(F.count("*") / RUN_ROWS).alias("runs")))
+    dealt = sized.join(counts, ["gram", "level"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("runs")))
+    held = dealt.groupBy("gram", "level", "k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("smaller").alias("smaller"), F.sort_array(F.collect_set("node")).alias("nodes"))
+    runs = materialize(held.withColumn("run", F.xxhash64("nodes")))
+    named = runs.select("gram", "level", "k", "low", "high", "smaller", "run")
+    a, b = named.alias("a"), named.alias("b")
+    near = F.expr("a.gram = b.gram AND (a.level = b.level AND a.k <= b.k OR a.level + 1 = b.level) AND (a.smaller OR b.smaller)")
+    apart = F.expr("a.low <> a.high OR b.low <> b.high OR a.low <> b.low")
+    pairs = a.join(b, near).where(apart).select(F.col("a.run").alias("a"), F.col("b.run").alias("b")).distinct()
+    return runs.select("run", "nodes").dropDuplicates(["run"]), pairs
+
+
+def _fold(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of ``width`` bytes; wider ones are folded, which keeps parities."""
+    out = np.empty((len(sketches), width), np.uint8)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0)
+    return out.view(np.uint64)
+
+
+def _near(a: pa.Table, b: pa.Table, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``a`` and of ``b`` may link one of the other side in another component, as far as sizes and sketches tell."""
+    (size, part, sketch), (o_size, o_part, o_sketch) = ((t.column("size").to_numpy(), t.column("component").to_numpy(), t.column("sketch").to_pylist()) for t in (a, b))
+    width, o_width = np.array([len(x) for x in sketch]), np.array([len(x) for x in o_sketch])
+    keep, o_keep = np.zeros(len(size), bool), np.zeros(len(o_size), bool)
+    for i in range(len(size)):
+        far = (np.abs(o_size - size[i]) > bound.differ(size[i], o_size)) | (o_part == part[i])
+        for w in np.unique(o_width[~far]).tolist():
+            at = np.flatnonzero(~far & (o_width == w))
+            both = min(w, int(width[i]))  # a pair is compared at the width of its narrower sketch
+            apart = np.bitwise_count(_fold([o_sketch[j] for j in at], both) ^ _fold([sketch[i]], both)).sum(axis=1, dtype=np.int64)
+            met = at[apart <= bound.differ(size[i], o_size[at])]
+            keep[i] |= len(met) > 0
+            o_keep[met] = True
+    return keep, o_keep
+
+
+def possible(runs: DataFrame, pairs: DataFrame, known: DataFrame, bound: Bound) -> DataFrame:
+    """(block, node): of each pair of runs the rows that may link across components.
+
+    ``known`` has (node, size, component, sketch).
     """
-    wanted = materialize(nodes.join(ids, "node").select("doc_id").distinct())
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return _texts(documents).alias("d").join(side.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    rows = runs.select("run", F.explode("nodes").alias("node")).join(known, "node")
+    packed = materialize(rows.groupBy("run").agg(F.collect_list(F.struct("node", "size", "component", "sketch")).alias("rows")))
+    sides = pairs.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array_distinct(F.array("a", "b"))).alias("run"))
 
+    def run(group: pa.Table) -> pa.Table:
+        held = [pa.Table.from_struct_array(x.values) for x in group.column("rows").combine_chunks()]
+        chosen = []
+        if held:
+            a, b = held[0], held[-1]
+            chosen = [t.column("node").to_numpy()[keep] for t, keep in zip((a, b), _near(a, b, bound), strict=True)]
+        node = np.unique(np.concatenate([np.empty(0, np.int64), *chosen]))
+        return pa.table({"block": pa.array(np.full(len(node), group.column("block")[0].as_py() if held else 0, np.int64)), "node": pa.array(node)})
 
-def _made_again(documents: DataFrame, ids: DataFrame, nodes: DataFrame, run, schema: str) -> DataFrame:
-    """What ``run`` makes of the texts, a row for each of ``nodes``."""
-    # rows of one id may have different texts, and copies of a text the same node
-    return _texts_of(documents, ids, nodes).mapInArrow(run, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-
-def _node_sketches(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int, bound: Bound) -> DataFrame:
-    """(node, size, level, own, upper): 16 bits of each column group at the own level and the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, rows, values, sizes, node in _sets(batch.column("text"), n):
-                made = []
-                for up in (0, 1):
-                    c = cells(rows, values, sizes, bound, up)
-                    ends = np.cumsum(c.groups)
-                    bits = c.value.astype(np.uint16)
-                    made.append(pa.array([bits[b - k : b].tobytes() for b, k in zip(ends.tolist(), c.groups.tolist(), strict=True)], pa.binary()))
-                    level = c.meet - up
-                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(level.astype(np.int32)), *made], names=["node", "size", "level", "own", "upper"])
-
-    return _made_again(documents, ids, nodes, run, "node long, size long, level int, own binary, upper binary")
-
-
-def _node_sets(documents: DataFrame, ids: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, set) for ``nodes``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, values, sizes, node in _sets(batch.column("text"), n):
-                sets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values.view(np.int64))
-                yield pa.record_batch([pa.array(node.view(np.int64)), sets], names=["node", "set"])
-
-    return _made_again(documents, ids, nodes, run, "node long, set array<long>")
-
-
-def _gathered(rest: DataFrame) -> DataFrame:
-    """Blocks (block, node) for rows (block, node, root) that may link.
-
-    The same few rows share many fingerprints, hence many blocks.  Rows that
-    such pairs connect are a family, and a family that fits a block is one;
-    larger ones stay in the blocks they came in.
-    """
-    named = components(rest.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
-    family = materialize(named)
-    few = family.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= 2 * BLOCK_ROWS).select("component")
-    small = family.join(few, "component", "left_semi").select(F.xxhash64("component", F.lit("family")).alias("block"), "node")
-    large = rest.join(small.select("node"), "node", "left_anti").select(F.xxhash64("block", "root").alias("block"), "node").distinct()
-    return small.union(large)
+    return sides.join(packed, "run").groupBy("block").applyInArrow(run, "block long, node long")
 
 
 def join_classes(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) of every row; see the module's text."""
     rows = materialize(classes(documents, n))
-    ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # every row of every fingerprint that two rows or more offer
-    offered, per_key = offers(documents, n, bound), Window.partitionBy("key")
-    many = offered.withColumn("many", F.count("*").over(per_key)).where("print IS NOT NULL OR many > 1 OR flags % 2 = 1")
-    shared = materialize(many.select(F.coalesce("print", "key").alias("print"), "node", F.expr("cast(flags div 2 as int)").alias("info")))
-    kept = materialize(_rarest(shared))
-    least = kept.groupBy("print").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other <> last").drop("last")
-    pairs = materialize(kept.join(least, "print").where("node <> other").select("node", "other").distinct())
-    # a block: one least node and up to BLOCK_ROWS others, dealt by hash
-    per_node = pairs.groupBy("other").agg(F.count("*").alias("n")).select("other", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
-    dealt = pairs.join(per_node, "other").select("node", "other", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("k"))
-    members = dealt.select(F.xxhash64("other", "k").alias("block"), "node")
-    centres = dealt.select(F.xxhash64("other", "k").alias("block"), F.col("other").alias("node")).distinct()
-    blocks = materialize(members.union(centres))
-    sketches = materialize(_node_sketches(documents, ids, blocks.select("node").distinct(), n, bound))
-
-    def linked(blocks: DataFrame) -> DataFrame:
-        rest = materialize(possible(blocks, sketches, bound))
-        met = materialize(_gathered(rest))
-        return materialize(multiply(met, _node_sets(documents, ids, met.select("node").distinct(), n), bound).distinct())
-
-    links = linked(blocks.withColumn("component", F.col("node")))
+    ids = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    may = materialize(may_link(shows(documents, n, bound)))
+    sets = materialize(node_sets(documents, ids, may, n, bound))
+    discard(may)
+    offered = offers(sets, bound)
+    links = materialize(multiply(_blocks(materialize(_with_centres(offered, bound))), sets, bound))
     labels = materialize(components(links))
 
-    # fingerprints of three rows or more that ended in different components; one
-    # of two rows is settled, as its only pair has been multiplied
-    marked = kept.join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
-    judged = marked.groupBy("print").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.lit(1)).alias("n"))
-    open_prints = judged.where("low <> high AND n > 2").select("print")
-    rest = materialize(marked.join(open_prints, "print", "left_semi").distinct())
-    if rest.isEmpty():
-        final = labels
-    else:
-        final = materialize(components(links.union(linked(materialize(_squares(rest, labels))))))
-    return _named(rows, final)
-
-
-def _rarest(shared: DataFrame) -> DataFrame:
-    """(print, node) without each row's most frequent fingerprints, as many as it may leave out.
-
-    Fingerprints are ordered by how many rows share them, then by value.  A row
-    that has w groups under two n-grams may leave out e - w more: linked rows
-    agree in 1 + e groups, so the rarest they share is never left out by either.
-    Passages that many texts share are dropped here before they make blocks.
-    """
-    counts = shared.groupBy("print").agg(F.count("*").alias("n"))
-    sized = shared.join(counts, "print")
-    rank = F.row_number().over(Window.partitionBy("node", F.col("info") % 2).orderBy(F.col("n").desc(), F.col("print").desc()))
-    frequent = sized.where("n > 2").withColumn("rank", rank).where(F.col("rank") > F.floor(F.col("info") / 2))
-    return sized.where("n = 2").select("print", "node").union(frequent.select("print", "node"))
-
-
-def _squares(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks (block, node, component) that hold every pair of a fingerprint's rows from different components.
-
-    Rows of a fingerprint are dealt into runs of about ``BLOCK_ROWS``: those of a
-    large component into runs of its own, all others into common runs.  A block
-    is two runs, or one, and is left out where both hold the same single
-    component.  Equal blocks are one.
-    """
-    sizes = rest.groupBy("print", "component").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < BLOCK_ROWS).groupBy("print").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("common"))
-    dealt = rest.join(sizes.join(small, "print", "left"), ["print", "component"])
-    own = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_ROWS)))
-    dealt = dealt.withColumn("run", F.when(F.col("n") < BLOCK_ROWS, F.pmod(F.xxhash64("component"), F.col("common"))).otherwise(own))
-    runs = dealt.groupBy("print", "run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_set("node").alias("nodes"))
-    a, b = runs.alias("a"), runs.alias("b")
-    same = (F.col("a.low") == F.col("b.high")) & (F.col("a.high") == F.col("b.low")) & (F.col("a.low") == F.col("a.high"))
-    met = a.join(b, (F.col("a.print") == F.col("b.print")) & (F.col("a.run") <= F.col("b.run"))).where(~same)
-    met = met.select(F.sort_array(F.array_union("a.nodes", "b.nodes")).alias("nodes")).where(F.size("nodes") > 1)
-    blocks = met.withColumn("block", F.xxhash64("nodes")).dropDuplicates(["block"]).select("block", F.explode("nodes").alias("node"))
-    return blocks.join(labels, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
-
-
-def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row with the least doc_id of its component."""
-    marked = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = marked.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = marked.join(least, "component", "left")
-    return named.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # columns that rows of several components offer
+    marked = materialize(offered.join(labels, "node", "left").select("gram", "node", "size", "smaller", F.coalesce("component", "node").alias("component")))
+    judged = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("smaller").alias("smaller"))
+    several = materialize(judged.where("low <> high AND smaller").select("gram"))
+    rest = materialize(marked.join(several, "gram", "left_semi"))
+    if not rest.isEmpty():
+        runs, pairs = _run_pairs(rest, bound)
+        known = rest.select("node", "size", "component").distinct().join(sets.select("node", "sketch"), "node")
+        blocks = materialize(possible(runs, pairs, known, bound))
+        more = materialize(multiply(blocks, sets, bound))
+        if not more.isEmpty():
+            labels = materialize(components(links.union(more)))
+    discard(sets, offered, marked, rest)
+    return _named(rows, ids, labels)
+
+
+def _named(rows: DataFrame, ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row with the least doc_id of its component; one without a set is alone."""
+    marked = ids.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = marked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(marked.join(least, "component").select("node", "component_id"))
+    worded = rows.where("node IS NOT NULL").join(named, "node").select("doc_id", "n_shingles", "node", "component_id")
+    return worded.union(rows.where("node IS NULL").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,37 +434,37 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(documents: DataFrame, n: int, bound: Bound) -> DataFrame:
     """``documents`` with one row of each class: the least doc_id, then the first by a hash of the row.
 
-    Rows without words are in no class and stay.  Null ids come last.
+    Rows without words are in no class and stay.  Null ids come last.  Further
+    columns may have any names.
     """
     names = documents.columns
+    key, want, digest, rank = unused(names, "id", "node", "digest", "rank")
     judged = join_classes(documents, n, bound)
     # a class keeps the least id; its node is that of the row with it, the least of several
     first = judged.where("node IS NOT NULL").groupBy("component_id").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("w"))
-    stay = first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_node")).union(judged.where("node IS NULL").select("doc_id", "node")).distinct()
+    stay = first.select(F.col("w.doc_id").alias(key), F.col("w.node").alias(want)).union(judged.where("node IS NULL").select("doc_id", "node")).distinct()
     # ids that repeat need a look at the text; all others are settled by the id
-    rows = documents.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return _matching(joined, names, n).select(*names)
+    rows = documents.withColumn(digest, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    joined = rows.join(materialize(stay), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    found = _matching(joined, want, n)
+    first = Window.partitionBy("doc_id", want).orderBy(digest)
+    worded = found.where(F.col(want).isNotNull()).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return worded.select(*[F.col(f"`{c}`") for c in names]).union(found.where(F.col(want).isNull()).select(*[F.col(f"`{c}`") for c in names]))
 
 
-def _matching(joined: DataFrame, names: list[str], n: int) -> DataFrame:
-    """Rows whose own node is the wanted one; of equal ids and nodes, one row."""
+def _matching(joined: DataFrame, want: str, n: int) -> DataFrame:
+    """Rows whose own node is the one in the column ``want``."""
     schema, at = joined.schema, joined.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at.index("text"))
-            for a, _, _, sizes, node in _sets(texts, n):
+            for a, _, _, sizes, node in _sets(batch.column(at.index("text")), n):
                 part = batch.slice(a, len(sizes))
-                want = part.column(at.index("_node"))
                 own = pa.array(node.view(np.int64), mask=sizes == 0)
-                same = [x == y for x, y in zip(own.to_pylist(), want.to_pylist(), strict=True)]
+                same = [x == y for x, y in zip(own.to_pylist(), part.column(at.index(want)).to_pylist(), strict=True)]
                 yield part.filter(pa.array(same, pa.bool_()))
 
-    found = joined.mapInArrow(run, schema)
-    first = Window.partitionBy("doc_id", "_node").orderBy("_h")
-    worded = found.where("_node IS NOT NULL").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return worded.union(found.where("_node IS NULL"))
+    return joined.mapInArrow(run, schema)
 
 
 OP5_SQL = r"""
