@@ -112,3 +112,14 @@ def quality(text):
     many = Counter(windows)
     covered = {i + k for i, x in enumerate(windows) if many[x] > 1 for k in range(3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def fails_other_rules(text):
+    """The quality rules beyond the word count and repeated words."""
+    t = text or ""
+    n, chars, symbols, dup, _ = quality(t)
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+    letters = sum(any(c.isalpha() for c in x) for x in w)
+    dots = sum(x.rstrip(" \t\n\x0b\f\r").endswith(("...", "…")) for x in lines)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0D]*[•‣▪●*-][\x20\x09]", x)) for x in lines)
+    return chars > 15 * n or 10 * chars < 15 * n or 10 * symbols > 3 * n or 10 * dup > 3 * len(lines) or 10 * letters < 8 * n or (dots >= 5 and 10 * dots > 3 * len(lines)) or (bullets >= 5 and 10 * bullets > 9 * len(lines))

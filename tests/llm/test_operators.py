@@ -58,9 +58,8 @@ def test_quality(table, request):
     want = []
     for d, t in pairs(df):
         n, chars, symbols, dup, rep = brute.quality(t)
-        lines = len((t or "").split("\n"))
         failed = n < 50 or 100 * rep > 50 * n
-        bad = chars > 15 * n or 10 * chars < 15 * n or 10 * symbols > 3 * n or 10 * dup > 3 * lines
+        bad = brute.fails_other_rules(t)
         want.append((d, n, chars, symbols, dup, rep, failed, not failed and not bad))
     same([tuple(r) for r in got], want)
     judged = quality_rules.cascade(df)
@@ -68,6 +67,25 @@ def test_quality(table, request):
     same([r["doc_id"] for r in judged.where("kept").select("doc_id").collect()], [w[0] for w in want if w[-1]])
 
 
+def test_rules_on_lines_and_letters(spark):
+    words = " ".join(f"word{i}x" for i in range(60))
+    texts = ["- " + "\n- ".join([words] * 3 + [f"w{i} a b c d e f g h" for i in range(9)]), "\n".join(f"{w} and..." for w in words.split()), " ".join(str(i) for i in range(99)), words + "\nmore…", "* a\n" + words, "é日本 " * 3 + words]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["kept"], r["failed_rule"]) for r in quality_rules.cascade(df).collect()}
+    assert [got[i][0] for i in range(6)] == [not brute.fails_other_rules(t) for t in texts] == [False, False, False, True, True, True]
+    assert [got[i][1] for i in range(3)] == ["bullet_lines", "ellipsis_lines", "alpha_words"]
+    assert sorted((r["doc_id"], r["kept"]) for r in quality_rules.digest(df).collect()) == [(i, got[i][0]) for i in range(6)]
+
+
+def test_later_measures_are_skipped(spark):
+    df = spark.createDataFrame([("a b",), ("word " * 80,)], "_text string")
+    few, letters = (next(r for r in quality_rules.RULES if r.name == n) for n in ("few_words", "alpha_words"))
+    asked = quality_rules._ask(df, [few, letters], quality_rules.BASE_MEASURES).orderBy("_text").collect()
+    assert [(r["n_words"], r["n_alpha_words"], r["_failed"]) for r in asked] == [(2, None, "few_words"), (80, 80, None)]
+    asked = quality_rules._ask(df, [letters, few]).orderBy("_text").collect()
+    assert [(r["n_alpha_words"], r["_failed"]) for r in asked] == [(2, "few_words"), (80, None)]
+
+
 def test_long_windows_stay_exact(spark):
     rng = random.Random(1)
     text = " ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") for _ in range(17_000))
@@ -109,6 +127,51 @@ def test_large_groups_are_cut_and_settled(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values()))
 
 
+def test_many_unlinked_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RUN_ROWS", 64)
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.choice([1, 4, 6, 7])):
+            w[rng.randrange(len(w))] = f"x{i}_{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_classes(df, 3, ngram_join.Bound(90, 100)).collect()}
+    assert got == {d: c for (d, _), (_, c) in zip(rows, brute.components(rows, 3, 90, 100), strict=True)}
+    assert 5 < len(set(got.values())) < 600
+
+
+def test_bounds_hold():
+    for num in (60, 80, 90, 95):
+        b = ngram_join.Bound(num, 100)
+        for x in range(1, 120):
+            for y in range(x, 120):
+                least = -(-num * (x + y) // (100 + num))
+                if least <= x:
+                    hidden = max(x - int(b.shown(x)), y - int(b.shown(y)))
+                    assert least - hidden >= max(b.needed(x), b.needed(y)) and least >= b.overlap(y) and x + y - 2 * least <= b.differ(x, y)
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng, b = np.random.default_rng(1), ngram_join.Bound(80, 100)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**62, rng.integers(1, 900))).astype(np.uint64)
+        c = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**62, rng.integers(1, 300)).astype(np.uint64)]))
+        made = []
+        for s in (a, c):
+            bits = int(b.sketch_bits(len(s)))
+            made.append(np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(int), minlength=bits) & 1).astype(np.uint8)).tobytes())
+        width = min(map(len, made))
+        assert np.bitwise_count(ngram_join._fold(made[:1], width) ^ ngram_join._fold(made[1:], width)).sum() <= len(np.setxor1d(a, c))
+
+
+def test_keep_one_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, "x", 7), (2, "a b c d e f", 6, "y", 8), (3, None, 1, "z", 9)], "doc_id long, text string, _h int, _id string, _node0 int")
+    got = ngram_join.keep_one(df, 5, ngram_join.Bound(80, 100))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 5, "x", 7), (3, None, 1, "z", 9)]
+
+
 def test_keep_one_with_repeats(odd):
     kept = ngram_join.keep_one(odd, 5, ngram_join.Bound(80, 100))
     assert kept.columns == odd.columns
@@ -161,6 +224,18 @@ def test_secret_formats_held_out():
     assert np.mean([model.is_secret(w) for w in secret_scan.ordinary(1000, seed=98)]) < 0.01
 
 
+def test_literal_prefixes_and_planted_credentials():
+    assert "ghp_" in secret_scan.shared_prefixes(secret_scan.exemplars()["prefixed"])
+    model, rng = secret_scan.train([]), random.Random(12)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda chars, k: "".join(rng.choices(chars, k=k))
+    planted = [p + draw(alnum, 30) for p in ("ghp_", "npm_", "sk_live_") for _ in range(60)] + [draw(alnum, 32) for _ in range(100)]
+    plain = ["-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)) for _ in range(100)]
+    plain += [f"20{draw('012', 2)}-01-1{draw('0123456789', 1)}T10-22-3{draw('0123456789', 1)}Z-build" for _ in range(50)] + ["BackPropagationThroughTime2019", "some_snake_case_identifier", "Donaudampfschifffahrtsgesellschaft"]
+    caught, wrong = sum(map(model.is_secret, planted)), sum(map(model.is_secret, plain))
+    assert caught >= 0.9 * len(planted) and caught >= 0.9 * (caught + wrong), (caught, wrong)
+
+
 def test_letters_alone_may_be_secret():
     model, rng = secret_scan.train([]), random.Random(7)
     letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=k))
@@ -276,6 +351,28 @@ def test_mixing(table, request):
     assert mixing.sampled(df).columns == df.columns
 
 
+def test_mix_is_the_same_for_any_partitions(odd, real):
+    for df in (odd, real):
+        rows = [sorted(map(tuple, mixing.digest(df.repartition(k)).collect()), key=repr) for k in (1, 3, 7)]
+        assert rows[0] == rows[1] == rows[2]
+        mixed = [sorted(map(tuple, mixing.sampled(df.repartition(k)).collect()), key=repr) for k in (1, 3)]
+        assert mixed[0] == mixed[1]
+
+
+def test_taken_is_what_plain_python_takes(spark, real):
+    starts = [r.asDict() for r in mixing.streams(real).collect()]
+    plan = {r["source"]: r for r in mixing.plan_of(mixing.streams(real)).collect()}
+    taken = {}
+    for r in mixing.slots(spark.createDataFrame(list(plan.values())), seed=mixing.SEED).collect():
+        low = r["block"] * mixing.BLOCK_WORDS
+        for d in starts:
+            if d["source"] == r["source"]:
+                words = min(d["start"] + d["size"], low + mixing.BLOCK_WORDS) - max(d["start"], low)
+                if words > 0:
+                    taken[d["doc_id"]] = taken.get(d["doc_id"], 0) + words
+    assert {r["doc_id"]: r["taken"] for r in mixing.digest(real).collect()} == {d["doc_id"]: taken.get(d["doc_id"], 0) for d in starts}
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect()
