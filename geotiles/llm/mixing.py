@@ -16,8 +16,9 @@ buckets, and slots are made in chunks, so one source may hold most rows.
 
 Defined cases: a null text has size 0 and nothing is taken from it; a null
 source is a source of its own, last in order; repeated rows are documents of
-their own; ties in doc_id are ordered by size and text hash; an empty table
-gives an empty mix.
+their own; ties in doc_id are ordered by size and text hash; a very long text has
+as many blocks as it needs; extra columns, whatever their names, are ignored by
+``digest`` and ``mix`` and kept by ``sampled``; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -78,27 +79,31 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 def streams(documents: DataFrame, source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """Documents as (doc_id, source, size, start): ``start`` counts the source's words before.
 
-    Documents are ordered by bucket of a hash, then doc_id.  Columns named in
-    ``keep`` stay.
+    Documents are ordered by bucket of a hash, then doc_id, size and hash, never by their
+    arrival, so the mix is the same for any partitions of the input.  Columns named
+    in ``keep`` stay.
     """
-    rows = documents.select("doc_id", F.col(source).cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), *keep)
-    rows = materialize(rows.withColumn("arrival", F.monotonically_increasing_id()))
+    rows = documents.select("doc_id", F.col(source).cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("text", *keep).alias("h"), *keep)
+    rows = materialize(rows)
     buckets = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
-    # a bucket of equal rows (same id, same text) is split by its order of arrival
-    rows = rows.withColumn("part", F.pmod("arrival", F.lit(16)).cast("int"))
-    sums = rows.groupBy("source", "bucket", "part").agg(F.sum("size").alias("n"))
-    each = Window.partitionBy("source", "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # rows alike in all of this are one entry, however many they are, and follow each other in any order
+    entries = rows.groupBy("source", "bucket", "doc_id", "size", "h").agg(F.count("*").alias("copies"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = sums.groupBy("source", "bucket").agg(F.sum("n").alias("n")).withColumn("bucket_start", F.coalesce(F.sum("n").over(over), F.lit(0)))
-    part_start = sums.withColumn("part_start", F.coalesce(F.sum("n").over(each), F.lit(0)))
-    starts = part_start.join(
-        by_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_start"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
-    ).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("part").alias("p"), (F.col("bucket_start") + F.col("part_start")).alias("base"))
-    inside = Window.partitionBy("source", "bucket", "part").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))
-    return rows.join(starts, on).select("doc_id", "source", "size", *keep, (F.col("base") + F.col("inside")).alias("start"))
+    by_bucket = entries.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket"))
+    placed = entries.alias("a").join(by_bucket.alias("b"), on).select("a.source", "a.doc_id", "a.size", "a.h", "a.copies", (F.col("b.base") + F.col("a.inside")).alias("first"))
+    exploded = lambda df: df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    out = ["doc_id", "source", "size", *keep, (F.col("first") + F.col("copy") * F.col("size")).alias("start")]
+    if not keep:
+        return exploded(placed).select(*out)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("source", "doc_id", "size", "h")]
+    joined = rows.alias("r").join(placed.alias("p"), same[0] & same[1] & same[2] & same[3]).select("r.source", "r.doc_id", "r.size", "r.h", "p.copies", "p.first", *[f"r.{c}" for c in keep])
+    # what is kept is the same in all rows of an entry
+    alike = joined.where("copies > 1").groupBy("source", "doc_id", "size", "h", "copies", "first").agg(*[F.first(c).alias(c) for c in keep])
+    return joined.where("copies = 1").withColumn("copy", F.lit(0).cast("long")).select(*out).union(exploded(alike).select(*out))
 
 
 def permuted(place: Column, blocks: Column, key: Column) -> Column:
@@ -196,8 +201,7 @@ def sampled(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     gives its blocks.  Documents without words go with the block at their place,
     or stay once if their source has no words at all.
     """
-    names = documents.columns
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source", "text")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), "doc_id", "source", "text")
     docs = materialize(streams(rows, keep=["_row"]))
     plan = materialize(plan_of(docs))
     times = slots(plan, block_words).groupBy("source", "block").agg(F.count("*").cast("int").alias("times"))
