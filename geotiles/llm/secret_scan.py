@@ -13,10 +13,17 @@ when the best credential automaton explains it better than the ordinary one by
 Training takes, per kind, the ``TRAIN_ROWS`` base values with the lowest hash
 (a documented bound on labelled rows), besides exemplars generated from public
 credential formats; and the ``TRAIN_ROWS`` distinct candidates without a label
-with the lowest hash.  Everything else looks at all texts.
+with the lowest hash.  Values of over ``TRAIN_CHARS`` characters train nothing, as no
+credential format is that long; they are scored like all others.  Everything else
+looks at all texts.
+
+Characters are seen by class, but for prefixes that many of a kind's values share
+("ghp_", "AKIA"): each is one symbol of its own, so that the grammar holds it
+literally.
 
 Defined cases: a null text is empty and has no spans; very long texts are
-scanned whole; repeated rows each give their row; an empty table gives an empty
+scanned whole; repeated rows each give their row; spans of several kinds that start
+together come in the order of ``KINDS``; equal hashes are ordered by value; an empty table gives an empty
 result and automata from the generated exemplars alone; extra columns are
 ignored by the digest and kept by ``redact``.
 """
@@ -29,14 +36,14 @@ import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotiles.llm.common import table
+from geotiles.llm.common import discard, materialize, table
 
 #: Labelled values of each kind that train its automaton.
 TRAIN_ROWS = 1500
@@ -45,7 +52,11 @@ ALPHA = 0.05
 #: Nats a character by which a credential automaton must beat the ordinary one.
 MARGIN = 0.7
 #: Shortest candidate.
-SHORTEST = 16
+SHORTEST = 12
+#: Longest value that trains an automaton.
+TRAIN_CHARS = 200
+#: A prefix is literal that this share of a kind's values has, and this many of them.
+LITERAL_SHARE, LITERAL_ROWS = 0.05, 8
 
 KINDS = ("assign", "access", "hex", "format")
 
@@ -99,12 +110,13 @@ class Automaton:
 
     arcs: list[dict[str, tuple[int, float]]] = field(default_factory=list)
     floor: float = math.log(1e-4)
+    literals: tuple[str, ...] = ()
 
     def score(self, word: str) -> float:
         """Log likelihood; a symbol without an arc costs the floor and leaves the state as it is."""
         state, total = 0, 0.0
-        for c in word:
-            arc = self.arcs[state].get(_SYMBOLS.get(c, c))
+        for symbol in symbols(word, self.literals):
+            arc = self.arcs[state].get(symbol)
             if arc is None:
                 total += self.floor
             else:
@@ -113,7 +125,21 @@ class Automaton:
         return total + (arc[1] if arc else self.floor)
 
 
-def infer(words: Iterable[str], alpha: float = ALPHA) -> Automaton:
+def symbols(word: str, literals: tuple[str, ...]) -> list[str]:
+    """A word as the automata see it: one of the literal prefixes, if it has one, and classes of characters."""
+    head = next((x for x in literals if word.startswith(x)), "")
+    return [head, *(_SYMBOLS.get(c, c) for c in word[len(head) :])] if head else [_SYMBOLS.get(c, c) for c in word]
+
+
+def shared_prefixes(words: Sequence[str]) -> tuple[str, ...]:
+    """Prefixes of two to eight characters that many words have, each as long as nearly all of them agree; longest first."""
+    counts = Counter(word[:k] for word in words for k in range(2, 9) if len(word) >= k)
+    most = {x: n for x, n in counts.items() if n >= max(LITERAL_ROWS, LITERAL_SHARE * len(words))}
+    ends = [x for x in most if not any(len(y) == len(x) + 1 and y.startswith(x) and n >= 0.9 * most[x] for y, n in most.items())]
+    return tuple(sorted(ends, key=lambda x: (-len(x), x)))
+
+
+def infer(words: Sequence[str], alpha: float = ALPHA) -> Automaton:
     """Merge compatible states of the words' prefix tree, in order of breadth.
 
     Two states are compatible when the frequencies of each symbol, and of
@@ -122,10 +148,10 @@ def infer(words: Iterable[str], alpha: float = ALPHA) -> Automaton:
     """
     nexts: list[dict[str, int]] = [{}]
     counts: list[Counter[str]] = [Counter()]
+    literals = shared_prefixes(words)
     for word in words:
         state = 0
-        for c in word:
-            s = _SYMBOLS.get(c, c)
+        for s in symbols(word, literals):
             counts[state][s] += 1
             if s not in nexts[state]:
                 nexts[state][s] = len(nexts)
@@ -178,7 +204,7 @@ def infer(words: Iterable[str], alpha: float = ALPHA) -> Automaton:
         known = set(red)
         blue = [(r, x) for r in red for x in sorted(nexts[r]) if nexts[r][x] not in known]
     number = {r: i for i, r in enumerate(red)}
-    out = Automaton()
+    out = Automaton(literals=literals)
     for r in red:
         n = counts[r].total() + 0.5 * (len(_ALPHABET) + 1)
         arcs = {s: (number[z], math.log((counts[r][s] + 0.5) / n)) for s, z in nexts[r].items()}
@@ -215,6 +241,9 @@ def ordinary(n: int = 3000, seed: int = 5) -> list[str]:
         lambda: "".join(rng.choices(string.digits, k=rng.randint(16, 24))),
         lambda: "-".join("".join(rng.choices(string.digits, k=rng.randint(2, 4))) for _ in range(5)),
         lambda: rng.choice("-_/").join([word(), "".join(rng.choices(string.digits, k=rng.randint(1, 4))), word(), word()]),
+        lambda: "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
+        lambda: f"{rng.randint(1970, 2040)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}-{rng.randint(0, 59):02}-{rng.randint(0, 59):02}Z" + rng.choice(("", f"-{word()}")),
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4))) + "".join(rng.choices(string.digits, k=rng.choice((1, 2, 4)))),
     )
     return [rng.choice(kinds)() for _ in range(n)]
 
@@ -248,10 +277,12 @@ def labelled(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, st
                         values.append(ASSIGN.match(value)[1] if kind == 0 else value)
             yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
-    found = documents.select(F.col("text").cast("string")).mapInArrow(run, "kind string, value string").where(F.length("value") <= 200).distinct()
+    found = documents.select(F.col("text").cast("string")).mapInArrow(run, "kind string, value string").where(F.length("value") <= TRAIN_CHARS).distinct()
+    found = materialize(found)  # read once for each kind
     out = []
     for kind in KINDS:  # four bounded top-k jobs' worth of rows, no group in one task
         out += found.where(F.col("kind") == kind).select("kind", "value").orderBy(F.xxhash64("value"), "value").limit(rows).collect()
+    discard(found)
     return [(r["kind"], r["value"]) for r in out]
 
 
@@ -261,7 +292,7 @@ def train(values: Iterable[tuple[str, str]]) -> Model:
     for kind, value in values:
         if kind == KINDS[3]:
             plain.append(value)
-        elif len(value) >= SHORTEST:
+        else:
             by.setdefault(f"corpus_{kind}", []).append(value)
     return Model({kind: infer(words) for kind, words in by.items()}, infer(plain))
 
@@ -273,7 +304,10 @@ def free(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int
     for m in CANDIDATE.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if not any(s < m.end() and e > m.start() for s, e in taken[k : k + 8]):
+        j = k
+        while j < len(taken) and taken[j][0] < m.end() and taken[j][1] <= m.start():
+            j += 1
+        if j == len(taken) or taken[j][0] >= m.end():
             yield m.start(), m.end()
 
 
@@ -290,10 +324,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans, redacted columns' spans) per row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the training bounds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the model, bounded by the training bounds, travels inside by value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -308,14 +340,13 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
 
 def redact(documents: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """``documents`` with every secret replaced by ``<kind>``; overlapping spans are replaced as one."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(column)
 
     def clean(text: str | None) -> str | None:
         if not text:
             return text
         out, done = [], 0
-        spans = all_spans(text, shared.value)[1]
+        spans = all_spans(text, model)[1]
         k = 0
         while k < len(spans):
             start, kind, end = spans[k]
