@@ -395,6 +395,27 @@ def test_nearest(spark, data):
     assert set(got) == {k for k in vectors if k % 10 == 0} | {9100} and [x[:2] for x in got[9100]] == [(1, 9101)]
 
 
+def test_repeated_vectors_are_told_apart(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in vptree.nearest(df, k=4, shard_rows=2, block_queries=2).collect())
+    own = [(0, 1, 0, 0.0), (0, 2, 7, 0.0), (0, 3, 8, 0.0), (0, 4, 9, 0.5)]
+    assert got == sorted(own * 2 + [(100, 1, 9, 1.118034), *((100, 2 + i, d, 1.414214) for i, d in enumerate((0, 0, 7)))])
+
+
+def test_trees_are_built_once_a_shard(spark, data, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(700, 5))
+    tree = vptree.build(points, leaf=20)
+    again = vptree.unpack(*vptree.pack(tree))
+    found = []
+    for t in (tree, again):
+        s = vptree.Search(points, np.arange(700), points[:9], np.arange(9), 5, 1.0)
+        s.visit(t, np.arange(9))
+        found.append((s.best_id.tolist(), s.seen))
+    assert found[0] == found[1]
+
+
 def test_relaxed_pruning_sees_less():
     rng = np.random.default_rng(5)
     points = rng.normal(size=(3000, 4))
