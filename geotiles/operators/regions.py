@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -58,12 +59,18 @@ def cover_table(keyed: DataFrame, cover: Sequence[Quadrant], query_id: int = 0)
     return keyed.sparkSession.createDataFrame(rows, "query_id long, z int, quadrant long, is_full boolean")
 
 
+def _raised(cells: DataFrame, depths: Sequence[int]) -> DataFrame:
+    """Rows with a ``cell`` of the last of ``depths``, once for each of them, with ``at`` (z, quadrant)."""
+    up = lambda z: F.shiftright("cell", 2 * (depths[-1] - z)) if z < depths[-1] else F.col("cell")
+    return cells.withColumn("at", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), up(z).alias("quadrant")) for z in depths])))
+
+
 def count_by_quadrant(keyed: DataFrame, region: Region | TileBox, ref_level: int = REF_LEVEL, include_empty: bool = False) -> DataFrame:
     """Count of each quadrant of the cover: (z, quadrant, n).
 
-    Points meet the cover on the quadrant's own level, an equi-join; only the
-    levels that the cover has are tried.  The cover's size depends on the box
-    alone, so it is broadcast.
+    Points are first counted by cells of the cover's deepest level, of which every
+    quadrant is made; only those counts meet the cover, an equi-join on each level that the
+    cover has.  The cover's size depends on the box alone, so it is broadcast.
     """
     box = _box(region)
     cover = box.cover(ref_level)
@@ -71,9 +78,9 @@ def count_by_quadrant(keyed: DataFrame, region: Region | TileBox, ref_level: int
     depths = sorted({q.z for q in cover})
     if not depths:
         return table.select("z", "quadrant", F.lit(0).cast("long").alias("n")).limit(0)
-    inside = select(keyed, box, ref_level)
-    at = inside.withColumn("at", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), morton.ancestor(F.col("code"), z).alias("quadrant")) for z in depths])))
-    counted = at.join(F.broadcast(table), (F.col("at.z") == F.col("z")) & (F.col("at.quadrant") == F.col("quadrant"))).groupBy("z", "quadrant").agg(F.count("*").alias("n"))
+    cells = select(keyed, box, ref_level).groupBy(morton.ancestor(F.col("code"), depths[-1]).alias("cell")).agg(F.count("*").alias("n"))
+    met = _raised(cells, depths).join(F.broadcast(table), (F.col("at.z") == F.col("z")) & (F.col("at.quadrant") == F.col("quadrant")))
+    counted = met.groupBy("z", "quadrant").agg(F.sum("n").alias("n"))
     if include_empty:
         return table.join(counted, ["z", "quadrant"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counted
@@ -121,9 +128,11 @@ def page(keyed: DataFrame, region: Region | TileBox, rows: int = PAGE_ROWS, tie:
 def workload(keyed: DataFrame, regions: Sequence[tuple[int, Region]], ref_level: int = REF_LEVEL) -> DataFrame:
     """Count of every box of a workload, empty ones too: (query_id, n).
 
-    One pass: points meet all covers on quadrants, level by level present, then
-    the boxes' tile bounds.  The covers are broadcast; their size follows the
-    boxes, and a workload of too many quadrants is refined less.
+    Points are counted by cells of the deepest level of full quadrants, and those
+    counts meet the full quadrants.  Points themselves meet only the quadrants at the boxes'
+    edges, which are nearly all of one level, then the boxes' tile bounds.  The
+    covers are broadcast; their size follows the boxes, and a workload of too many
+    quadrants is refined less.
     """
     spark = keyed.sparkSession
     while True:
@@ -131,16 +140,23 @@ def workload(keyed: DataFrame, regions: Sequence[tuple[int, Region]], ref_level:
         if len(covers) <= 100_000 or ref_level <= 1:
             break
         ref_level -= 1
-    boxes = [(k, q.z, q.code, b.x0, b.y0, b.x1, b.y1) for k, b, q in covers]
-    quadrants = spark.createDataFrame(boxes, "query_id long, z int, quadrant long, x0 long, y0 long, x1 long, y1 long")
     ids = spark.createDataFrame([(k,) for k, _ in regions], "query_id long")
-    depths = sorted({q.z for _, _, q in covers})
-    if not depths:
-        return ids.select("query_id", F.lit(0).cast("long").alias("n"))
-    points = keyed.select("x", "y", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), morton.ancestor(F.col("code"), z).alias("quadrant")) for z in depths])).alias("at"))
-    met = points.join(F.broadcast(quadrants), (F.col("at.z") == F.col("z")) & (F.col("at.quadrant") == F.col("quadrant")))
-    inside = met.where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").groupBy("query_id").agg(F.count("*").alias("n"))
-    return ids.join(inside, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
+    found = [ids.select("query_id", F.lit(0).cast("long").alias("n"))]
+    on = (F.col("at.z") == F.col("z")) & (F.col("at.quadrant") == F.col("quadrant"))
+    full = [(k, q.z, q.code) for k, _, q in covers if q.full]
+    if full:
+        depths = sorted({z for _, z, _ in full})
+        cells = keyed.groupBy(morton.ancestor(F.col("code"), depths[-1]).alias("cell")).agg(F.count("*").alias("n"))
+        quadrants = spark.createDataFrame(full, "query_id long, z int, quadrant long")
+        found.append(_raised(cells, depths).join(F.broadcast(quadrants), on).select("query_id", "n"))
+    edge = [(k, q.z, q.code, b.x0, b.y0, b.x1, b.y1) for k, b, q in covers if not q.full]
+    if edge:
+        levels = sorted({z for _, z, *_ in edge})
+        quadrants = spark.createDataFrame(edge, "query_id long, z int, quadrant long, x0 long, y0 long, x1 long, y1 long")
+        at = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), morton.ancestor(F.col("code"), z).alias("quadrant")) for z in levels]))
+        met = keyed.select("x", "y", at.alias("at")).join(F.broadcast(quadrants), on)
+        found.append(met.where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").groupBy("query_id").agg(F.count("*").alias("n")))
+    return functools.reduce(DataFrame.union, found).groupBy("query_id").agg(F.sum("n").cast("long").alias("n"))
 
 
 def workload_exactly(points: DataFrame, regions: Sequence[tuple[int, Region]]) -> DataFrame:
@@ -160,14 +176,15 @@ def statistics(keyed: DataFrame, region: Region | TileBox, ref_level: int = REF_
     cover = box.cover(ref_level)
     depths = sorted({q.z for q in cover})
     table = cover_table(keyed, cover).drop("query_id")
-    at = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), morton.ancestor(F.col("code"), z).alias("quadrant")) for z in depths or [0]]))
-    met = keyed.select("x", "y", at.alias("at")).join(F.broadcast(table), (F.col("at.z") == F.col("z")) & (F.col("at.quadrant") == F.col("quadrant")))
     inside: Column = box.contains()
+    cells = keyed.groupBy(morton.ancestor(F.col("code"), (depths or [0])[-1]).alias("cell")).agg(F.count("*").alias("n"), F.count_if(inside).alias("hits"))
+    met = _raised(cells, depths or [0]).join(F.broadcast(table), (F.col("at.z") == F.col("z")) & (F.col("at.quadrant") == F.col("quadrant")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return met.agg(
         F.count_distinct("z", "quadrant").alias("refinements"),
-        F.count_if(inside).alias("total"),
-        F.count_if(~F.col("is_full") & inside).alias("true_positives"),
-        F.count_if(~F.col("is_full") & ~inside).alias("false_positives"),
+        total("hits").alias("total"),
+        total(F.when(~F.col("is_full"), F.col("hits"))).alias("true_positives"),
+        total(F.when(~F.col("is_full"), F.col("n") - F.col("hits"))).alias("false_positives"),
     )
 
 
@@ -193,19 +210,24 @@ def top_k(keyed: DataFrame, lat: float, lon: float, k: int, alpha: float, radius
 
     score = alpha * distance / radius + (1 - alpha) * age / horizon, least first,
     over rows within the radius and the horizon; distances are great-circle ones.
+    A radius or horizon of 0 leaves its part of the score out.
     """
+    part = lambda c, most: F.col(c) / most if most else F.lit(0.0)
     half = lambda c, v: F.pow(F.sin((F.radians(c.cast("double")) - F.radians(F.lit(v))) / 2), 2)
     near = half(F.col("lat"), lat) + F.cos(F.radians(F.lit(lat))) * F.cos(F.radians(F.col("lat").cast("double"))) * half(F.col("lon"), lon)
     # a band of latitudes that holds the circle, for the scan
     degrees = radius_km / 111.0 + 0.01
     rows = keyed.where(F.col("lat").between(lat - degrees, lat + degrees)).withColumn("km", F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(near, F.lit(1.0)))))
     rows = rows.withColumn("age", F.lit(at) - F.col("time")).where((F.col("km") <= radius_km) & F.col("age").between(0, horizon))
-    return rows.withColumn("score", alpha * F.col("km") / radius_km + (1 - alpha) * F.col("age") / horizon).orderBy("score", tie).limit(k)
+    return rows.withColumn("score", alpha * part("km", radius_km) + (1 - alpha) * part("age", horizon)).orderBy("score", tie).limit(k)
 
 
 def heat_cells(points: DataFrame, x: str, y: str, weight: str, cell: float, most: float, offset: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Pixels rebinned: per cell the weighted centre, rounded half up, and the capped sum of weights."""
+    """Pixels rebinned: per cell the weighted centre, rounded half up, and the capped sum of weights.
+
+    A cell whose weights sum to zero has no centre: null.
+    """
     at = lambda c, o: F.floor((F.col(c) - o) / cell).alias(f"cell_{c}")
-    centre = lambda c: F.floor(F.sum(F.col(c) * F.col(weight)) / F.sum(weight) + 0.5).cast("long").alias(c)
+    centre = lambda c: F.floor(F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(weight)) + 0.5).cast("long").alias(c)
     cells = points.groupBy(at(x, offset[0]), at(y, offset[1])).agg(centre(x), centre(y), F.least(F.sum(weight), F.lit(most)).alias("intensity"))
     return cells.select(x, y, "intensity")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from geotiles.operators import regions
 from geotiles.plans.region import TileBox
 
+#: Deepest tiles below a zoom that an answer holds: at most 4**MOST_RESOLUTION tiles a map tile.
+MOST_RESOLUTION = 10
 #: Shortest path, in parts.
 LEAST_PARTS = 5
 FIELDS = ("time", "language", "device", "app", "text")
@@ -45,6 +47,8 @@ def parse(path: str, edge: str = "inclusive") -> Query | None:
                 box = TileBox.of_tiles(z, *corners, edge=edge)
             elif word == "resolution":
                 kind, resolution = "tile", int(next(rest))
+                if not 0 <= resolution <= MOST_RESOLUTION:
+                    return None
     except (ValueError, StopIteration, RuntimeError):
         return None
     return Query(kind, z, box, resolution) if kind and box else None
@@ -61,7 +65,7 @@ def answer(keyed: DataFrame, path: str, edge: str = "inclusive") -> str:
         rows = regions.tile_response(regions.tile_grid(keyed, query.box, query.z, query.resolution)).collect()
         counts = [r["n"] for r in rows]
         return json.dumps([{"data": [[r["lat"], r["lon"], r["n"]] for r in rows], "min": min(counts, default=None), "max": max(counts, default=0)}])
-    rows = regions.page(keyed, query.box).select(*[c for c in FIELDS if c in keyed.columns]).collect()
+    rows = regions.page(keyed, query.box, tie=[c for c in ("time", *keyed.columns) if c not in ("code", "extra")]).select(*[c for c in FIELDS if c in keyed.columns]).collect()
     return json.dumps({"draw": 1, "data": [list(r) for r in rows], "recordsTotal": len(rows), "recordsFiltered": len(rows)})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Share of a batch, in per cent, that makes a cell hot.
@@ -22,11 +22,13 @@ def remove(points: DataFrame, predicate: Column) -> DataFrame:
 def strict_window(points: DataFrame, ticks: int, step: Column | None = None) -> DataFrame:
     """The window after every tick: (tick, oldest, rows) with the ``ticks`` most recent ticks eligible.
 
-    One count per tick is enough, so the running sum sees ticks, not points.
+    One count per tick is enough, and each counts for the ``ticks`` ticks it is eligible in, so
+    sums are by tick and no task sees all ticks.
     """
     per = points.groupBy(F.col("time").alias("tick")).agg(F.count("*").alias("n"))
-    span = Window.orderBy("tick").rangeBetween(-(ticks - 1), 0)
-    return per.select("tick", (F.col("tick") - (ticks - 1)).alias("oldest"), F.sum("n").over(span).alias("rows"))
+    counts = per.select(F.explode(F.sequence(F.col("tick"), F.col("tick") + (ticks - 1))).alias("tick"), "n", F.col("tick").alias("own"))
+    sums = counts.groupBy("tick").agg(F.sum("n").alias("rows"), F.max("own").alias("own"))
+    return sums.where("own = tick").select("tick", (F.col("tick") - (ticks - 1)).alias("oldest"), "rows")
 
 
 def lazy_state(counts: list[tuple[int, int]], ticks: int, most: int) -> list[tuple[int, int, int, bool]]:
@@ -56,3 +58,13 @@ def hot_cells(points: DataFrame, batch: str, batch_rows: int, alert: float = ALE
     """Cells of a batch with more rows than ``alert`` per cent of the configured batch size."""
     counted = points.groupBy(F.col(batch).alias("batch"), cell().alias("cell")).agg(F.count("*").alias("n"))
     return counted.where(F.col("n") > batch_rows * alert / 100.0).select("batch", "cell.*", "n")
+
+
+def hopping_counts(points: DataFrame, event_time: str, length: str, step: str) -> DataFrame:
+    """Rows of hopping event-time windows: (start, end, n)."""
+    return points.groupBy(F.window(event_time, length, step).alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
+
+
+def session_counts(points: DataFrame, by: str, event_time: str, gap: str) -> DataFrame:
+    """Rows of sessions that a pause of ``gap`` ends: (by, start, end, n)."""
+    return points.groupBy(by, F.session_window(event_time, gap).alias("w")).agg(F.count("*").alias("n")).select(by, "w.start", "w.end", "n")

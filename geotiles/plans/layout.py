@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotiles.functions import mercator, morton
@@ -45,16 +45,20 @@ def write_zordered(keyed: DataFrame, path: str, partitions: int | None = None, m
         parted.withColumn("cell", cell).sortWithinPartitions("cell", "code").write.mode(mode).partitionBy("cell").parquet(path)
 
 
-def stored(keyed: DataFrame) -> DataFrame:
-    """The points written in Z-order below the session's checkpoint folder, and read again."""
-    spark = keyed.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the session's checkpoint folder; only where none is set, as in tests, below one of our own."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geotiles-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/zordered-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(keyed: DataFrame) -> DataFrame:
+    """The points written in Z-order below the session's checkpoint folder, and read again."""
+    path = scratch(keyed.sparkSession, "zordered")
     write_zordered(keyed, path)
-    return spark.read.schema(keyed.schema).parquet(path)
+    return keyed.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
 def append(keyed: DataFrame, path: str) -> None:

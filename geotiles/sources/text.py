@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +49,11 @@ def created_seconds(created_at: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.substring(created_at, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy")))
 
 
-def to_points(messages: DataFrame) -> DataFrame:
-    """Messages with coordinates as (time, lat, lon, text), text cut to the record's 140 bytes' worth of characters."""
+def to_points(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Messages with coordinates as (time, lat, lon, text) and the columns to ``keep``, text cut to the record's 140 bytes' worth of characters."""
     at = F.col("coordinates")
     return messages.where("coordinates IS NOT NULL AND size(coordinates) = 2").select(
-        created_seconds(F.col("created_at")).alias("time"), F.get(at, F.lit(1)).cast("float").alias("lat"), F.get(at, F.lit(0)).cast("float").alias("lon"), F.left("text", F.lit(140)).alias("text")
+        created_seconds(F.col("created_at")).alias("time"), F.get(at, F.lit(1)).cast("float").alias("lat"), F.get(at, F.lit(0)).cast("float").alias("lon"), F.left("text", F.lit(140)).alias("text"), *keep
     )
 
 

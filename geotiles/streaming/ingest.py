@@ -54,8 +54,10 @@ def windowed_store(points: DataFrame, path: str, checkpoint: str, ticks: int) ->
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        keyed = with_keys(batch)
-        keyed.withColumn("tick", F.floor(F.col("time") / ticks)).sortWithinPartitions("code").write.mode("append").partitionBy("tick").parquet(path)
+        keyed = with_keys(batch).withColumn("tick", F.floor(F.col("time") / ticks)).withColumn("batch", F.lit(number).cast("long"))
+        # a repeated batch replaces its own folders and no others
+        writer = keyed.sortWithinPartitions("code").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("tick", "batch").parquet(path)
         newest = batch.agg(F.max("time")).collect()[0][0]
         if newest is not None:
             _drop_before(batch.sparkSession, path, (newest - ticks + 1) // ticks)
@@ -88,6 +90,25 @@ def cell_counts(points: DataFrame, event_time: str, length: str, late: str) -> D
     return timed.groupBy(F.window(event_time, length), windows.cell().alias("cell")).agg(F.count("*").alias("n"))
 
 
+def push(points: DataFrame, checkpoint: str, send: Callable[[str], None], batch_rows: int, alert: float = windows.ALERT) -> StreamingQuery:
+    """Tell ``send`` of every batch: that there is new data, its latest time, and its hot cells if it has any.
+
+    A batch has at most 100 / ``alert`` hot cells of the configured size, so the cells sent are few.
+    """
+
+    def look(batch: DataFrame, number: int) -> None:
+        newest = batch.agg(F.max("time")).collect()[0][0]
+        if newest is None:
+            return
+        send(renewed())
+        send(informed(newest))
+        cells = windows.hot_cells(batch.withColumn("batch", F.lit(number).cast("long")), "batch", batch_rows, alert).orderBy("lat0", "lon0").limit(1000).collect()
+        if cells:
+            send(triggered([(c["lat0"], c["lon0"], c["lat1"], c["lon1"]) for c in cells]))
+
+    return points.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def renewed() -> str:
     return json.dumps({"renew": True})
 
@@ -100,4 +121,4 @@ def triggered(cells: list[tuple[float, float, float, float]]) -> str:
     return json.dumps({"renew": False, "triggers": [list(c) for c in cells]})
 
 
-__all__ = ["append", "cell_counts", "hot_cells", "in_region", "informed", "ingest", "read_points", "renewed", "triggered", "windowed_store", "with_keyword"]
+__all__ = ["append", "cell_counts", "hot_cells", "in_region", "informed", "ingest", "push", "read_points", "renewed", "triggered", "windowed_store", "with_keyword"]

@@ -89,6 +89,27 @@ def test_streams_equal_batches(spark, batches, tmp_path):
     assert keyword.count() == rows.where("event_type = 'click'").count()
 
 
+def test_push_tells_of_data_time_and_hot_cells(spark, batches, tmp_path):
+    rows, folder = batches
+    stream = ingest.read_points(spark, folder, rows.schema.simpleString()[7:-1].replace(":", " "))
+    sent = []
+    ingest.push(stream, str(tmp_path / "c"), sent.append, 20).awaitTermination()
+    told = [json.loads(x) for x in sent]
+    assert [x for x in told if x["renew"]] == [{"renew": True}] * 3
+    newest = [spark.read.parquet(f"{folder}/{k}.parquet").agg({"time": "max"}).collect()[0][0] for k in range(3)]
+    assert [x["info"] for x in told if "info" in x] == [[n] for n in newest]
+    cells = [len(x["triggers"]) for x in told if "triggers" in x]
+    assert sum(cells) == sum(windows.hot_cells(spark.read.parquet(f"{folder}/{k}.parquet").withColumn("batch", catalog.F.lit(0)), "batch", 20).count() for k in range(3))
+
+
+def test_a_repeated_batch_is_stored_once(spark, batches, tmp_path):
+    rows, folder = batches
+    stream = ingest.read_points(spark, folder, rows.schema.simpleString()[7:-1].replace(":", " "))
+    for k in range(2):  # a lost checkpoint makes every batch come again
+        ingest.windowed_store(stream, str(tmp_path / "w"), str(tmp_path / f"c{k}"), 10**6).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "w")).count() == rows.count()
+
+
 def test_event_time_windows(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     stream = generators.points_of_events(ingest.read_points(spark, data + "/events.parque[t]", events.schema.simpleString()[7:-1].replace(":", " ")).withColumn("at", catalog.F.col("ts").cast("timestamp")))
