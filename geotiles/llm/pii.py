@@ -8,7 +8,7 @@ nothing (0): the strict pattern, a gazetteer (domains, area codes, issuers,
 countries), the words before it, and its borders.  All candidates of all texts
 are counted by kind and votes, which gives a table of at most
 ``len(KINDS) * 3**4`` rows whatever the input; on that table
-expectation-maximisation estimates each labeler's reliability, and its
+expectation-maximisation estimates each labeler's reliability for each kind, and its
 posteriors train a logistic span classifier.  The classifier is applied as a
 column expression and decides about the candidates beyond the base spans.
 
@@ -18,7 +18,9 @@ plain ones with possessive repeats and a look-behind, which match the same
 spans in linear time and without recursion.
 
 Defined cases: a null text is empty and has no spans; repeated rows each give
-their row; long texts are scanned whole; an empty table gives an empty result.
+their row; very long texts are scanned whole; spans that start together come in the order
+of ``KINDS``; a candidate as likely as not is not added; an empty table gives an empty
+result; extra columns stay, but for those named base, extra or added.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from geotiles.llm.common import materialize, table, text_or_empty
+from geotiles.llm.common import let, materialize, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 LABELERS = ("strict", "gazetteer", "context", "border")
@@ -63,6 +65,19 @@ CONTEXT = {
 #: Words before a candidate that speak against any kind.
 AGAINST = r"(?i)\b(version|build|isbn|issn|order|ticket|part|serial|release)\W*$"
 CONTEXT_CHARS = 40
+#: Shares of the votes no, nothing and yes that each labeler is expected to give to true candidates and to false ones.
+EXPECTED = {
+    "strict": ((0.05, 0.45, 0.5), (0.3, 0.45, 0.25)),
+    "gazetteer": ((0.05, 0.05, 0.9), (0.5, 0.05, 0.45)),
+    "context": ((0.005, 0.595, 0.4), (0.45, 0.5, 0.05)),
+    "border": ((0.05, 0.15, 0.8), (0.3, 0.2, 0.5)),
+}
+#: Step of the classifier's descent; its curvature is at most (1 + labelers) / 4, so this converges.
+STEP = 1.0
+#: Weight of the expected votes beside those seen; below 1 the rounds drift to calling all candidates true.
+ANCHOR = 2.0
+#: Matches of a text whose positions are summed up at once.
+CHUNK = 64
 
 
 def _digits(m: Column) -> Column:
@@ -115,7 +130,8 @@ def _border(m: Column, left: Column, right: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """All matches as array<struct<start, end, m, left, right>>, null where there is none.
 
-    ``left`` and ``right`` are the ends of the gaps around a match.
+    ``left`` and ``right`` are the ends of the gaps around a match.  A text's n matches take
+    about n * (CHUNK + n / CHUNK**2) steps.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.right(g, F.lit(CONTEXT_CHARS)).alias("left"), F.length(g).alias("gap"), F.length(m).alias("n")))
@@ -127,19 +143,28 @@ def matches(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["m"].alias("m"), p["left"].alias("left"))
         return F.struct((start + p["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    # appending to an array copies it, so positions run through chunks, and through each chunk from its own start
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
+    length = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda acc, p: acc + p["gap"] + p["n"])
+    begins = lambda cs: F.aggregate(cs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, c: F.struct((acc["at"] + length(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    run = lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    spans = let(chunks, lambda cs: F.flatten(F.zip_with(cs, begins(cs), run)))
     after = F.transform(spans, lambda s, i: F.struct(s["start"], s["end"], s["m"], s["left"], F.left(F.get(gaps, i + 1), F.lit(2)).alias("right")))
     return F.when(text.rlike(pattern), after)
 
 
 def candidates(documents: DataFrame, column: str = "text") -> DataFrame:
-    """``base`` and ``extra`` candidates per row, as array<struct<start, kind, end, valid, votes>>."""
-    inner = documents.select(F.struct("*").alias("_row"), text_or_empty(column).alias("_t"))
+    """``base`` and ``extra`` candidates per row, as array<struct<start, kind, end, valid, votes>>.
+
+    Columns of ``documents`` named base, extra or added are left out; all others stay, whatever their names.
+    """
+    names = [c for c in documents.columns if c.lower() not in ("base", "extra", "added")]
+    inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text_or_empty(column).alias("_t"))
     for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("loose", LOOSE)):
         inner = inner.withColumn(f"_{kind}", matches(F.col("_t"), pattern))
 
     def judged(s: Column, kind: Column, ok: Column) -> Column:
-        strict = F.when(ok, 1).otherwise(-1)
+        strict = F.when(ok, 1).when(ok.isNull(), 0).otherwise(-1)
         votes = [strict, _gazetteer(kind, s["m"]), _context(kind, s["left"]), _border(s["m"], s["left"], s["right"])]
         return F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"), ok.alias("valid"), F.array(*[v.cast("int") for v in votes]).alias("votes"))
 
@@ -153,7 +178,7 @@ def candidates(documents: DataFrame, column: str = "text") -> DataFrame:
     def loose(s: Column) -> Column:
         m = s["m"]
         kind = F.when(m.rlike(r"(?i)[(\[]at[)\]]"), "email").when(m.rlike("^[A-Z]{2}[0-9]{2}"), "iban").when(m.rlike("^[0-9]{3}-[0-9]{2}-"), "ssn").otherwise("phone")
-        strict = F.when(kind == "iban", F.length(F.regexp_replace(m, " ", "")).between(15, 34)).when(kind == "email", F.lower(m).rlike(rf"\b(?:{DOMAINS})$")).otherwise(F.lit(True))
+        strict = F.when(kind == "iban", F.length(F.regexp_replace(m, " ", "")).between(15, 34)).when(kind == "email", F.lower(m).rlike(rf"\b(?:{DOMAINS})$"))  # nothing to check in the others
         return judged(s, kind, strict)
 
     extra = F.coalesce(F.transform("_loose", loose), empty)
@@ -162,16 +187,18 @@ def candidates(documents: DataFrame, column: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Logistic weights of kinds and votes."""
+    """Logistic weights by kind: a bias, and one weight for each labeler's vote no, nothing or yes."""
 
-    kinds: dict[str, float]
-    votes: tuple[tuple[float, float, float], ...]
-    reliabilities: tuple[float, ...]
+    bias: dict[str, float]
+    votes: dict[str, tuple[tuple[float, float, float], ...]]
+    reliabilities: dict[str, tuple[float, ...]]
 
     def log_odds(self, kind: Column, votes: Column) -> Column:
-        out = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, self.kinds[k])]), kind)
-        for i, w in enumerate(self.votes):
-            out = out + F.element_at(F.array(*[F.lit(x) for x in w]), F.get(votes, F.lit(i)) + 2)
+        flat = {k: [self.bias[k], *(x for w in self.votes[k] for x in w)] for k in KINDS}
+        weights = F.element_at(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.array(*[F.lit(v) for v in flat[k]]))]), kind)
+        out = F.get(weights, F.lit(0))
+        for i in range(len(LABELERS)):
+            out = out + F.get(weights, F.get(votes, F.lit(i)) + (2 + 3 * i))
         return out
 
 
@@ -179,46 +206,48 @@ def fit(rows: Sequence[Row], rounds: int = 60) -> Classifier:
     """Estimate reliabilities by expectation-maximisation and fit the classifier to its posteriors.
 
     ``rows`` have ``kind, votes, n``: the bounded table of vote patterns.
-    A labeler's votes depend on the truth alone; priors are by kind.
+    A labeler's votes depend on the kind and the truth alone.  ``EXPECTED`` votes count
+    for ``ANCHOR`` times as many candidates as a kind has, so that labelers keep their meaning where
+    nearly all candidates are true, or false.
     """
-    data = [(r["kind"], tuple(r["votes"]), float(r["n"])) for r in rows]
-    prior = dict.fromkeys(KINDS, 0.7)
-    seen = [[[1.0, 1.0, 2.0], [2.0, 1.0, 1.0]] for _ in LABELERS]  # weight of each vote if true, if false
-    posterior: list[float] = []
-    for _ in range(rounds):
-        posterior = []
-        for kind, votes, _n in data:
-            yes, no = math.log(prior[kind]), math.log(1 - prior[kind])
-            for i, v in enumerate(votes):
-                yes += math.log(seen[i][0][v + 1] / sum(seen[i][0]))
-                no += math.log(seen[i][1][v + 1] / sum(seen[i][1]))
-            posterior.append(1 / (1 + math.exp(max(-60.0, min(60.0, no - yes)))))
-        seen = [[[1.0, 1.0, 2.0], [2.0, 1.0, 1.0]] for _ in LABELERS]
-        mass = {k: [1.4, 2.0] for k in KINDS}
-        for (kind, votes, n), p in zip(data, posterior, strict=True):
-            mass[kind][0] += n * p
-            mass[kind][1] += n
-            for i, v in enumerate(votes):
-                seen[i][0][v + 1] += n * p
-                seen[i][1][v + 1] += n * (1 - p)
-        prior = {k: min(0.99, max(0.01, a / b)) for k, (a, b) in mass.items()}
-    bias, w = dict.fromkeys(KINDS, 0.0), [[0.0, 0.0, 0.0] for _ in LABELERS]
-    total = sum(n for _, _, n in data) or 1.0
-    for _ in range(400):
-        g_bias, g_w = dict.fromkeys(KINDS, 0.0), [[0.0, 0.0, 0.0] for _ in LABELERS]
-        for (kind, votes, n), p in zip(data, posterior, strict=True):
-            z = bias[kind] + sum(w[i][v + 1] for i, v in enumerate(votes))
-            off = n / total * (1 / (1 + math.exp(max(-60.0, min(60.0, -z)))) - p)
-            g_bias[kind] += off
-            for i, v in enumerate(votes):
-                g_w[i][v + 1] += off
-        for k in KINDS:
-            bias[k] -= 4 * (g_bias[k] + 1e-4 * bias[k])
-        for i in range(len(w)):
-            for v in range(3):
-                w[i][v] -= 4 * (g_w[i][v] + 1e-4 * w[i][v])
-    reliable = tuple(s[0][2] / sum(s[0]) for s in seen)
-    return Classifier(bias, tuple(tuple(x) for x in w), reliable)
+    bias, weights, reliable = dict.fromkeys(KINDS, 0.0), {}, {}
+    for kind in KINDS:
+        data = [(tuple(r["votes"]), float(r["n"])) for r in rows if r["kind"] == kind]
+        total = sum(n for _, n in data) or 1.0
+        expected = [[[ANCHOR * total * share for share in votes] for votes in EXPECTED[name]] for name in LABELERS]  # weight of each vote if true, if false
+        prior, seen, posterior = 0.7, expected, []
+        for _ in range(rounds):
+            posterior = []
+            for votes, _n in data:
+                yes, no = math.log(prior), math.log(1 - prior)
+                for i, v in enumerate(votes):
+                    yes += math.log(seen[i][0][v + 1] / sum(seen[i][0]))
+                    no += math.log(seen[i][1][v + 1] / sum(seen[i][1]))
+                posterior.append(1 / (1 + math.exp(max(-60.0, min(60.0, no - yes)))))
+            seen = [[list(x) for x in both] for both in expected]
+            true = 0.0
+            for (votes, n), p in zip(data, posterior, strict=True):
+                true += n * p
+                for i, v in enumerate(votes):
+                    seen[i][0][v + 1] += n * p
+                    seen[i][1][v + 1] += n * (1 - p)
+            prior = min(0.99, max(0.01, (1.4 + true) / (2 + total)))
+        w = [[0.0, 0.0, 0.0] for _ in LABELERS]
+        for _ in range(1500 if data else 0):
+            g_bias, g_w = 0.0, [[0.0, 0.0, 0.0] for _ in LABELERS]
+            for (votes, n), p in zip(data, posterior, strict=True):
+                z = bias[kind] + sum(w[i][v + 1] for i, v in enumerate(votes))
+                off = n / total * (1 / (1 + math.exp(max(-60.0, min(60.0, -z)))) - p)
+                g_bias += off
+                for i, v in enumerate(votes):
+                    g_w[i][v + 1] += off
+            bias[kind] -= STEP * (g_bias + 1e-4 * bias[kind])
+            for i in range(len(w)):
+                for v in range(3):
+                    w[i][v] -= STEP * (g_w[i][v] + 1e-4 * w[i][v])
+        weights[kind] = tuple(tuple(x) for x in w)
+        reliable[kind] = tuple(s[0][2] / sum(s[0]) for s in seen)
+    return Classifier(bias, weights, reliable)
 
 
 def train(found: DataFrame) -> Classifier:

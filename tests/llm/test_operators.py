@@ -195,6 +195,28 @@ def test_pii(table, request):
     same([tuple(r) for r in got], [(d, brute.pii(t)) for d, t in pairs(df)])
 
 
+def test_many_matches_and_clashing_names(spark):
+    texts = [" ".join(f"a{i}@b.com" for i in range(n)) for n in (1, 63, 64, 65, 129, 3000)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(texts)], "doc_id long, text string, base int, extra int, added int, _t int")
+    found = pii.candidates(df)
+    got = found.select("doc_id", "_t", pii._joined(F.filter("base", lambda x: x["valid"])).alias("b")).collect()
+    same([tuple(r) for r in got], [(i, 4, brute.pii(t)) for i, t in enumerate(texts)])
+    assert set(pii.detect(df).columns) == {"doc_id", "_t", "base", "added"}
+
+
+def test_planted_kinds_beyond_the_base(spark):
+    rng = random.Random(8)
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    yes, no = [], []
+    for _ in range(60):
+        yes += [f"her ssn is {rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} here", f"my account DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)} there", f"write to jo{d(2)} [at] mail [dot] org soon", f"call {rng.randint(200, 999)}-{rng.randint(200, 999)}-{d(4)} now"]
+        no += [f"part {d(3)}-{d(2)}-{d(4)} fits", f"order {d(3)}.{d(3)}.{d(4)} was sent", f"from {d(2)}.{d(2)} to {d(2)}.{d(2)}", f"serial XX{d(2)}{d(4)}{d(4)}{d(4)} is old"]
+    df = spark.createDataFrame(list(enumerate(yes + no)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in pii.detect(df).select("doc_id", F.size("added").alias("n")).collect()}
+    caught, wrong = sum(got[i] > 0 for i in range(len(yes))), sum(got[i] > 0 for i in range(len(yes), len(yes + no)))
+    assert caught >= 0.9 * len(yes) and caught >= 0.9 * (caught + wrong), (caught, wrong)
+
+
 def test_pii_added_and_accuracy(spark):
     yes = ["call us at (415) 555-2671 today", "mail joe (at) example (dot) com now", "reach 415-555-2671 please"] * 20
     no = ["version 2 of 11-22-33", "from 10.20 to 30.40", "about 1,000,000 people at (at) home"] * 20
