@@ -12,7 +12,7 @@ shuffle, which permutes any number of blocks without a table), and blocks are
 joined by (source, block).
 
 Nothing is gathered by source: offsets come from sums over about sqrt(rows)
-buckets, and slots are made in chunks, so one source may hold most rows.
+buckets, and slots are made shard by shard, so one source may hold most rows.
 
 Defined cases: a null text has size 0 and nothing is taken from it; a null
 source is a source of its own, last in order; repeated rows are documents of
@@ -118,31 +118,51 @@ def permuted(place: Column, blocks: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), place, turn)
 
 
-def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as rows (shard, source, slot, block), from rows (source, source_size, target).
-
-    The planner takes them for as few as the plan's rows, so joins with them
-    must ask for a merge and not leave it to broadcast them.
-    """
+def _with_slots(plan: DataFrame, block_words: int) -> DataFrame:
+    """The plan with ``blocks`` of each source and the ``slots`` that its target asks for."""
     plan = plan.where("source_size > 0")
     plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     plan = plan.withColumn("passes", F.floor(F.col("target") / F.col("source_size")).cast("long"))
     rest = F.round((F.col("target") - F.col("passes") * F.col("source_size")) / block_words).cast("long")
     plan = plan.withColumn("slots", F.col("passes") * F.col("blocks") + F.when(F.col("passes") < MOST_PASSES, F.least(rest, F.col("blocks"))).otherwise(F.lit(0)))
-    plan = plan.where("slots > 0")
+    return plan.where("slots > 0")
+
+
+def _tasks(total: int) -> int:
+    """A number of partitions that follows the slots: by bytes, the few rows they are made from would all be one."""
+    return max(1, min(100_000, -(-total // TASK_SLOTS)))
+
+
+def draws(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The shards' counts by source, as rows (shard, source, blocks, first, drawn), from rows (source, source_size, target).
+
+    Each of a source's slots draws its shard, so given the totals the counts are
+    multinomial.  ``first`` counts the source's slots in the shards before; its window
+    sees a row per shard of a source, some 4 million words each.
+    """
+    plan = _with_slots(plan, block_words)
     total = plan.agg(F.sum("slots")).collect()[0][0] or 0
     shards = max(1, -(-total * block_words // shard_words))
     chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS).cast("long"))))
-    # a number of partitions that follows the slots: by bytes, these few rows would all be one
-    chunks = chunks.repartition(max(1, min(100_000, -(-total // TASK_SLOTS))), "source", "chunk")
     first = F.col("chunk") * CHUNK_SLOTS
-    made = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)))
-    key = F.xxhash64("source", (F.col("slot") / F.col("blocks")).cast("long"), F.lit(seed))
-    made = made.withColumn("key", key).withColumn("place", F.col("slot") % F.col("blocks"))
-    return made.select(
-        F.pmod(F.xxhash64("source", "slot", F.lit(seed + 1)), F.lit(shards)).alias("shard"), "source", "slot",
-        permuted(F.col("place"), F.col("blocks"), F.col("key")).alias("block"), (F.col("slot") / F.col("blocks")).cast("long").alias("pass"),
-    )
+    thrown = chunks.repartition(_tasks(total), "source", "chunk").select("source", "blocks", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)).alias("slot"))
+    counts = thrown.groupBy(F.pmod(F.xxhash64("source", "slot", F.lit(seed + 1)), F.lit(shards)).alias("shard"), "source", "blocks").agg(F.count("*").alias("drawn"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+
+
+def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as rows (shard, source, slot, block, pass): every shard's drawn counts, mapped through the permutations.
+
+    The planner takes them for as few as the plan's rows, so joins with them
+    must ask for a merge and not leave it to broadcast them.
+    """
+    drawn = materialize(draws(plan, block_words, shard_words, seed))
+    total = drawn.agg(F.sum("drawn")).collect()[0][0] or 0
+    made = drawn.repartition(_tasks(total), "shard", "source").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)))
+    of_pass = (F.col("slot") / F.col("blocks")).cast("long")
+    made = made.withColumn("key", F.xxhash64("source", of_pass, F.lit(seed))).withColumn("place", F.col("slot") % F.col("blocks"))
+    return made.select("shard", "source", "slot", permuted(F.col("place"), F.col("blocks"), F.col("key")).alias("block"), of_pass.alias("pass"))
 
 
 def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -170,24 +190,24 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def taken(docs: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Words that the mix takes of each document with words: (source, start, taken).
+    """Words that the mix takes of each document with words, and the first shard that has some: (source, start, taken, shard).
 
     Documents with words have distinct (source, start).
     """
-    times = slots(plan, block_words).groupBy("source", "block").agg(F.count("*").alias("times")).alias("a")
+    times = slots(plan, block_words).groupBy("source", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard")).alias("a")
     parts = blocks_of(docs, block_words).alias("b")
     on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
-    return parts.join(times.hint("merge"), on).groupBy("b.source", "b.start").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
+    return parts.join(times.hint("merge"), on).groupBy("b.source", "b.start").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"), F.min("shard").alias("shard"))
 
 
 def digest(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     docs = materialize(streams(documents))
     plan = materialize(plan_of(docs))
-    got = taken(docs, plan, block_words).select(F.col("source").alias("s"), F.col("start").alias("at"), "taken")
+    got = taken(docs, plan, block_words).select(F.col("source").alias("s"), F.col("start").alias("at"), "taken", "shard")
     # documents without words share a start with others; nothing is taken from them
     out = docs.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left").drop("s", "at")
     by = plan.select(F.col("source").alias("s"), "source_size", "target")
-    return out.join(by, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(by, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shard")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

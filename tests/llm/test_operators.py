@@ -395,6 +395,25 @@ def test_taken_is_what_plain_python_takes(spark, real):
     assert {r["doc_id"]: r["taken"] for r in mixing.digest(real).collect()} == {d["doc_id"]: taken.get(d["doc_id"], 0) for d in starts}
 
 
+def test_shards_draw_counts_by_source(spark, real):
+    plan = mixing.plan_of(mixing.streams(real)).cache()
+    drawn = mixing.draws(plan, shard_words=2048).collect()
+    made = mixing.slots(plan, shard_words=2048).collect()
+    shards, of = {r["shard"] for r in drawn}, {}
+    assert len(shards) > 10 and len(shards) == max(shards) + 1
+    for r in sorted(drawn, key=lambda r: r["shard"]):
+        assert r["first"] == of.get(r["source"], 0)
+        of[r["source"]] = r["first"] + r["drawn"]
+        mine = sorted(m["slot"] for m in made if m["shard"] == r["shard"] and m["source"] == r["source"])
+        assert mine == list(range(r["first"], r["first"] + r["drawn"]))
+    assert sum(of.values()) == len(made)
+    # a multinomial's squares over expectations: as many as there are degrees of freedom
+    square = sum((r["drawn"] - of[r["source"]] / len(shards)) ** 2 / (of[r["source"]] / len(shards)) for r in drawn)
+    square += sum(n / len(shards) * (len(shards) - sum(r["source"] == s for r in drawn)) for s, n in of.items())
+    free = (len(shards) - 1) * len(of)
+    assert abs(square - free) < 5 * (2 * free) ** 0.5
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect()
