@@ -51,6 +51,8 @@ DISCOUNT = 0.75
 BLOCK_BYTES = 4 << 20
 #: Tokens whose bigrams one hash range handles, about.
 RANGE_TOKENS = 1_500_000
+#: Tasks of a step at most; beyond that a task handles several ranges or blocks, one after the other.
+MOST_TASKS = 100_000
 #: Hashes of the end and of the start of a text, which no word has by more than chance.
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
@@ -147,6 +149,11 @@ def _range_of_pairs(state: np.ndarray, word: np.ndarray, ranges: int) -> np.ndar
     return _ranges(mix(state + mix(word)), ranges)
 
 
+def _dealt(rows: DataFrame, key: str, ranges: int) -> DataFrame:
+    """Rows by key, in as many partitions as there are ranges, so that what a task reads does not grow with the table."""
+    return rows.repartition(min(ranges, MOST_TASKS), key)
+
+
 def _of(row: dict, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(row[name], dtype=kind) if name == "words" else _unpack(row[name], kind)
 
@@ -194,7 +201,7 @@ def _totals(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[np.ndarra
     return order[new], place, np.bincount(place, weights=counts, minlength=int(new.sum())).astype(np.int64)
 
 
-def answer_bigrams(asked: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> DataFrame:
+def answer_bigrams(asked: DataFrame, ranges: int, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> DataFrame:
     """(kind, to, part, data): counts of kept bigrams for each block, and the states' kept mass.
 
     kind 0: to a block, from range ``part``, the totals in the order asked (0: not kept).
@@ -225,7 +232,7 @@ def answer_bigrams(asked: DataFrame, min_count: int = MIN_COUNT, discount: float
             "mass": pa.array(np.concatenate([np.zeros(n), mass])),
         })
 
-    return asked.groupBy("range").applyInArrow(run, "kind int, to long, part int, data binary, mass double")
+    return _dealt(asked, "range", ranges).groupBy("range").applyInArrow(run, "kind int, to long, part int, data binary, mass double")
 
 
 def ask_words(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -275,7 +282,7 @@ def answer_words(asked: DataFrame, mass: DataFrame, ranges: int) -> DataFrame:
         })
 
     schema = "block long, part int, counts binary, mass binary, tokens long, types long"
-    return asked.groupBy("range").cogroup(mass.groupBy("range")).applyInArrow(run, schema)
+    return _dealt(asked, "range", ranges).groupBy("range").cogroup(_dealt(mass, "range", ranges).groupBy("range")).applyInArrow(run, schema)
 
 
 class Automaton:
@@ -344,7 +351,9 @@ def score(blocks: DataFrame, bigram_answers: DataFrame, word_answers: DataFrame,
         return run(key, block, both.filter(pc.is_valid(both.column("data"))), both.filter(pc.is_valid(both.column("counts"))))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "doc_ids", "held_out", "lengths", "words", "codes").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(split, schema)
+    blocks = blocks.select("block", "doc_ids", "held_out", "lengths", "words", "codes")
+    # a range has the tokens of two or three full blocks
+    return _dealt(blocks, "block", ranges).groupBy("block").cogroup(_dealt(both, "block", ranges).groupBy("block")).applyInArrow(split, schema)
 
 
 def lm_scores(documents: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS) -> DataFrame:
@@ -352,7 +361,7 @@ def lm_scores(documents: DataFrame, min_count: int = MIN_COUNT, discount: float
     blocks = materialize(encoded(documents, block_bytes))
     tokens = blocks.agg(F.sum("tokens")).collect()[0][0] or 1
     ranges = max(1, -(-tokens // range_tokens))
-    found = materialize(answer_bigrams(ask_bigrams(blocks, ranges), min_count, discount))
+    found = materialize(answer_bigrams(ask_bigrams(blocks, ranges), ranges, min_count, discount))
     # a state's mass comes in parts, one a range at most
     mass = found.where("kind = 1").groupBy("to").agg(F.sum("mass").alias("mass"))
     mass = mass.mapInArrow(_with_range(ranges), "to long, mass double, range int")
