@@ -30,7 +30,9 @@ give way to it.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections import Counter
 
@@ -190,6 +192,11 @@ class Blocks:
         self.weights = Weights(tuple((n, t) for n, t, _ in made))
         self.needs = [need for _, _, need in made]
 
+    def may_match(self, lowered: Column) -> Column:
+        """Whether some template's words all occur in a text: where not, no unit of it can be compared with any."""
+        sets = dict.fromkeys(tuple(sorted(need, key=lambda w: (-len(w), w))) for need in self.needs)
+        return functools.reduce(operator.or_, [functools.reduce(operator.and_, [lowered.contains(w) for w in need]) for need in sets])
+
     def literal(self) -> Column:
         """All templates as one constant array of structs."""
         quoted = lambda w: f"'{w}'"
@@ -215,9 +222,13 @@ def spdx(text: Column) -> Column:
     return F.when(F.size(ids) > 0, F.struct(F.lit(1.0).alias("score"), F.array_min(ids).alias("license")))
 
 
+def without_marks(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r", ""), BLOCK_ENDS, "\f\n"), MARKS, "")
+
+
 def units(text: Column) -> Column:
     """The whole text, its comment blocks, paragraphs, sentences and lines, without comment marks."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r", ""), BLOCK_ENDS, "\f\n"), MARKS, "")
+    plain = without_marks(text)
 
     def cut(plain: Column) -> Column:
         paragraphs = F.split(plain, r"\f|\n[ \t]*(?=\n)", -1)
@@ -255,9 +266,10 @@ def best_block(text: Column, blocks: Blocks | None = None) -> Column:
 
             return let(let(known, counted), compared)
 
-        return let(F.regexp_extract_all(F.regexp_replace(F.lower(unit), "licence", "license"), F.lit(TOKENS), F.lit(0)), scored)
+        return let(folded(unit), lambda u: F.when(blocks.may_match(u), let(F.regexp_extract_all(u, F.lit(TOKENS), F.lit(0)), scored)))
 
-    found = _best(F.transform(units(text), judge))
+    folded = lambda x: F.regexp_replace(F.lower(x), "licence", "license")
+    found = let(folded(without_marks(text)), lambda u: F.when(blocks.may_match(u), _best(F.transform(units(text), judge))))
     return let(found, lambda b: F.when(F.round(b["score"], 4) >= THRESHOLD, F.struct(F.round(b["score"], 4).alias("score"), b["license"].alias("license"))))
 
 
