@@ -113,12 +113,15 @@ class Automaton:
     literals: tuple[str, ...] = ()
 
     def score(self, word: str) -> float:
-        """Log likelihood; a symbol without an arc costs the floor and leaves the state as it is."""
+        """Log likelihood; a symbol without an arc costs the floor and leads where it would lead from the start.
+
+        So one odd place in a word costs once and not at every symbol that follows.
+        """
         state, total = 0, 0.0
         for symbol in symbols(word, self.literals):
             arc = self.arcs[state].get(symbol)
             if arc is None:
-                total += self.floor
+                state, total = self.arcs[0].get(symbol, (0, 0.0))[0], total + self.floor
             else:
                 state, total = arc[0], total + arc[1]
         arc = self.arcs[state].get(_END)
