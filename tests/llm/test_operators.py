@@ -258,6 +258,13 @@ def test_literal_prefixes_and_planted_credentials():
     assert caught >= 0.9 * len(planted) and caught >= 0.9 * (caught + wrong), (caught, wrong)
 
 
+def test_one_odd_place_in_a_word_is_no_secret():
+    model = secret_scan.train([])
+    words = [w for w in secret_scan.ordinary(4000, seed=31) if w.isalpha() and w.islower()][:200]
+    odd = [head + w for w in words for head in ("SS", "KG", "TV", "X")] + [w + "SS" for w in words]
+    assert len(words) == 200 and np.mean([model.is_secret(w) for w in odd]) < 0.02
+
+
 def test_letters_alone_may_be_secret():
     model, rng = secret_scan.train([]), random.Random(7)
     letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=k))
