@@ -9,7 +9,7 @@ ids as bytes.  The table of words is a cache: it is emptied when it holds
 
 from __future__ import annotations
 
-import struct
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -26,6 +26,15 @@ END_ID = 1
 CACHE_WORDS = 600_000
 #: Texts handled at once hold about so many characters; a longer one is handled alone.
 CHUNK_CHARS = 2_000_000
+#: Words of letters that the tokenizer sees as one line.
+LINE_WORDS = 500
+#: Words of ASCII and Latin-1 letters, which no normaliser joins with what follows.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _ends_after_letter(word: bytes) -> bool:
+    """Whether a word ends in a comma or full stop after an ASCII or Latin-1 letter."""
+    return word[-1:] in (b",", b".") and (word[-2:-1].isalpha() or word[-3:-2] == b"\xc3" and word[-2:-1] not in (b"\x97", b"\xb7"))
 
 
 def default_tokenizer() -> str:
@@ -39,8 +48,10 @@ class WordEncoder:
 
     The tokenizer lower-cases, so ASCII capitals are lowered first, unless a
     combining mark is there, which could compose with the one case and not the
-    other.  A comma or full stop after an ASCII letter is a token run of its
-    own, so such a word's ids are those of both parts.
+    other.  A comma or full stop after a letter is a token run of its
+    own, so such a word's ids are those of both parts.  A word of letters alone is
+    one run, and only its last token has the mark of a word's end; so many are
+    tokenized as one line and cut at the marks.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +60,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,14 +72,29 @@ class WordEncoder:
             held[path] = cls(path)
         return held[path]
 
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        ending = {w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()}
-        plain = list((words - ending) | {x for w in ending for x in (w[:-1], w[-1:])}.difference(known))
-        for k in range(0, len(plain), 10_000):
-            some = plain[k : k + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
-            known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(some, (e.ids for e in found), strict=True))
+        ending = {w for w in words if _ends_after_letter(w)}
+        plain = (words - ending) | {x for w in ending for x in (w[:-1], w[-1:])}.difference(known)
+        runs = [w for w in plain if _LETTERS.fullmatch(w)]
+        alone = list(plain.difference(runs))
+        lines = [runs[k : k + LINE_WORDS] for k in range(0, len(runs), LINE_WORDS)]
+        for k in range(0, len(lines), 20):
+            some = lines[k : k + 20]
+            for line, ids in zip(some, self._ids([b" ".join(x) for x in some]), strict=True):
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) != len(line) or cuts[-1] != 4 * len(ids):  # not a vocabulary that marks the ends
+                    alone += line
+                    continue
+                data = ids.tobytes()
+                known.update((w, data[low:high]) for w, low, high in zip(line, [0, *cuts], cuts))
+        for k in range(0, len(alone), 10_000):
+            some = alone[k : k + 10_000]
+            known.update((w, ids.tobytes()) for w, ids in zip(some, self._ids(some), strict=True))
         known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ending)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
