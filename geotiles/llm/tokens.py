@@ -30,11 +30,17 @@ CHUNK_CHARS = 2_000_000
 LINE_WORDS = 500
 #: Words of ASCII and Latin-1 letters, which no normaliser joins with what follows.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Marks that end a word, of which no special token has one at its end.
+_MARKS = b",.;:!?$%&*#"
 
 
-def _ends_after_letter(word: bytes) -> bool:
-    """Whether a word ends in a comma or full stop after an ASCII or Latin-1 letter."""
-    return word[-1:] in (b",", b".") and (word[-2:-1].isalpha() or word[-3:-2] == b"\xc3" and word[-2:-1] not in (b"\x97", b"\xb7"))
+def _head(word: bytes) -> int:
+    """Length of a word without the marks after its last ASCII or Latin-1 letter; 0 if it does not end so."""
+    n = len(word.rstrip(_MARKS))
+    if n == len(word):
+        return 0
+    c = word[n - 1 : n]
+    return n if c.isalpha() or word[n - 2 : n - 1] == b"\xc3" and c not in (b"\x97", b"\xb7") else 0
 
 
 def default_tokenizer() -> str:
@@ -48,7 +54,7 @@ class WordEncoder:
 
     The tokenizer lower-cases, so ASCII capitals are lowered first, unless a
     combining mark is there, which could compose with the one case and not the
-    other.  A comma or full stop after a letter is a token run of its
+    other.  Marks after a word's last letter are a token run of their
     own, so such a word's ids are those of both parts.  A word of letters alone is
     one run, and only its last token has the mark of a word's end; so many are
     tokenized as one line and cut at the marks.
@@ -78,8 +84,8 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        ending = {w for w in words if _ends_after_letter(w)}
-        plain = (words - ending) | {x for w in ending for x in (w[:-1], w[-1:])}.difference(known)
+        ending = {w: n for w in words if (n := _head(w))}
+        plain = words.difference(ending) | {x for w, n in ending.items() for x in (w[:n], w[n:])}.difference(known)
         runs = [w for w in plain if _LETTERS.fullmatch(w)]
         alone = list(plain.difference(runs))
         lines = [runs[k : k + LINE_WORDS] for k in range(0, len(runs), LINE_WORDS)]
@@ -95,7 +101,7 @@ class WordEncoder:
         for k in range(0, len(alone), 10_000):
             some = alone[k : k + 10_000]
             known.update((w, ids.tobytes()) for w, ids in zip(some, self._ids(some), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ending)
+        known.update((w, known[w[:n]] + known[w[n:]]) for w, n in ending.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]

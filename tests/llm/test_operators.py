@@ -226,6 +226,14 @@ def test_pii_added_and_accuracy(spark):
 
 
 @pytest.mark.parametrize("table", ["odd", "real"])
+def test_words_encode_as_whole_texts_do():
+    encoder, rng = tokens.WordEncoder(tokens.default_tokenizer()), random.Random(3)
+    chars = "!?;:$%&*#,.abzAZ'\u2019s tlv01\u00c9\u00e9\u00fc\u00df\u00dc\u0149\u0130\u00d7\u00f7\u00aa\u00b5\u0301\u0308<|>\u4e2d\u017f\u212a\t\n\x0b"
+    texts = ["".join(rng.choices(chars, k=rng.randint(0, 30))) for _ in range(5000)] + ["<|startoftext|>!! a<|endoftext|>."]
+    whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in whole]
+
+
 def test_secrets(table, request):
     df = request.getfixturevalue(table)
     model = secret_scan.train(secret_scan.labelled(df))
